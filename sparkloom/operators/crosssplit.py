@@ -1,0 +1,168 @@
+"""Same or near-same records across splits, by content-defined chunks.
+
+Records are normalised and cut where a rolling hash of the last WINDOW characters says so, so that chunks
+realign behind any edit and survive a change of clause order. Records of different splits that share chunk
+digests are joined; the lengths of the shared chunks, over the mean length of both records, give the overlap
+fraction of the pair. A pair needs ``fraction`` of it and the same key (here: the normalised answer).
+
+The join is prefix-filtered: a record posts its rarest chunks only, as many as any partner at the fraction must
+hit. The order by rarity comes from chunk counts over all records in 2**16 hash buckets, a bounded table, so
+chunks of a common wording are not joined on at all. Exact copies (same normal form, same key) are joined as one.
+
+Defined results: records with a null or wordless text or a null key take no part; repeated rows of one id count
+once; all ties are kept; an empty table gives no rows; other columns are ignored whatever their names.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.common import written
+from sparkloom.functions.normalise import answer_key, within, words
+
+WINDOW, DIVISOR, BUCKETS = 3, 5, 1 << 16
+
+
+def chunk_ends(texts: list[str]) -> list[np.ndarray]:
+    """Ends of the content-defined chunks of each text (the last is its length)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = codes * np.uint64(0x9E3779B97F4A7C15)
+        roll = h.copy()
+        for i in range(1, WINDOW):
+            roll[i:] += h[:-i] * np.uint64(0xBF58476D1CE4E5B9 ** i % (1 << 64)) if len(h) > i else np.uint64(0)
+        cut = ((roll ^ (roll >> np.uint64(29))) >> np.uint64(7)) % np.uint64(DIVISOR) == 0
+    out = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        ends = np.flatnonzero(cut[a:b]) + 1
+        ends = ends[ends >= WINDOW]
+        out.append(ends if len(ends) and ends[-1] == b - a else np.append(ends, b - a))
+    return out
+
+
+def chunks(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """(digest, length) of the chunks of each text, repeats kept."""
+    out = []
+    for t, ends in zip(texts, chunk_ends(texts)):
+        a, own = 0, []
+        for b in ends.tolist():
+            if b > a:
+                own.append((xxhash.xxh3_64_intdigest(t[a:b]) - (1 << 63), b - a))
+            a = b
+        out.append(own)
+    return out
+
+
+def overlap(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """Length of the shared chunks (as a multiset) over the mean length."""
+    shared = sum(x[1] * n for x, n in (Counter(a) & Counter(b)).items())
+    total = sum(x[1] for x in a) + sum(x[1] for x in b)
+    return 2 * shared / total if total else 0.0
+
+
+def prefix(own: list[tuple[int, int]], counts: np.ndarray, fraction: float) -> list[int]:
+    """The digests a record posts: the rarest, until what remains is too short to reach the fraction alone."""
+    need = sum(n for _, n in own) * fraction / (2 - fraction)
+    rest, out = sum(n for _, n in own), []
+    for d, n in sorted(own, key=lambda x: (counts[x[0] % BUCKETS], x[0])):
+        if rest < need:
+            break
+        out.append(d)
+        rest -= n
+    return list(dict.fromkeys(out))
+
+
+def cross_split_pairs(df: DataFrame, key: str, side: str, text: str, answer: str, fraction: float, same: Callable[[str, str], bool]) -> DataFrame:
+    """Pairs (left_id, right_id, overlap): left where ``side`` is true, right where it is false, of equal answers,
+    with an overlap of at least ``fraction``, for which ``same(left text, right text)`` holds."""
+    spark = df.sparkSession
+    raw = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{side}`").cast("boolean").alias("side"), F.col(f"`{text}`").alias("t"), F.col(f"`{answer}`").alias("a")).dropna()
+
+    def normal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            t = [" ".join(words(x)) for x in f["t"]]
+            yield pd.DataFrame({"id": f["id"], "side": f["side"], "t": t, "a": [answer_key(x) for x in f["a"]]})
+
+    rows = written(raw.mapInPandas(normal, "id bigint, side boolean, t string, a string").where("t <> ''"))
+    # One record per copy class and side; its id is the class's lowest.
+    classes = rows.groupBy("side", "t", "a").agg(F.min("id").alias("rep"))
+    reps = written(classes)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for f in frames:
+            for own in chunks(f["t"].tolist()):
+                for d in {d for d, _ in own}:
+                    total[d % BUCKETS] += 1
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in reps.mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[r["bucket"]] = r["n"]
+
+    def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(r, a, d) for r, a, own in zip(f["rep"], f["a"], chunks(f["t"].tolist())) for d in prefix(own, counts, fraction)]
+            yield pd.DataFrame(out, columns=["rep", "a", "digest"])
+
+    def posted(which: DataFrame) -> DataFrame:
+        p = which.mapInPandas(post, "rep bigint, a string, digest bigint")
+        return p.select("rep", F.xxhash64("a", "digest").alias("k"))
+
+    left, right = reps.where("side"), reps.where("not side")
+    pairs = posted(left).withColumnRenamed("rep", "l").join(posted(right).withColumnRenamed("rep", "r"), "k").select("l", "r").distinct()
+    pairs = pairs.join(right.select(F.col("rep").alias("r"), F.col("t").alias("rt"), F.col("a").alias("ra")), "r")
+    pairs = pairs.join(left.select(F.col("rep").alias("l"), F.col("t").alias("lt"), F.col("a").alias("la")), "l").where("la = ra")
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            lt, rt = f["lt"].tolist(), f["rt"].tolist()
+            x = [overlap(p, q) for p, q in zip(chunks(lt), chunks(rt))]
+            keep = [v >= fraction and same(p, q) for v, p, q in zip(x, lt, rt)]
+            yield pd.DataFrame({"l": f["l"], "r": f["r"], "overlap": x})[keep]
+
+    found = written(pairs.select("l", "r", "lt", "rt").mapInPandas(verify, "l bigint, r bigint, overlap double"))
+    members = reps.join(rows, ["side", "t", "a"]).select("side", "rep", "id").distinct()
+    out = found.join(members.where("side").select(F.col("rep").alias("l"), F.col("id").alias("left_id")), "l")
+    out = out.join(members.where("not side").select(F.col("rep").alias("r"), F.col("id").alias("right_id")), "r")
+    return out.select("left_id", "right_id", "overlap")
+
+
+def same_question(wording: frozenset[str], phrases: tuple[tuple[str, str], ...]) -> Callable[[str, str], bool]:
+    """Whether two normalised questions name the same things: after replacing phrases by their plain form, every
+    word of one that has no partner within one typo in the other is a wording word, as must be the other's rest."""
+
+    def plain(t: str) -> str:
+        for a, b in phrases:
+            t = f" {t} ".replace(f" {a} ", f" {b} ").strip()
+        return t
+
+    def same(a: str, b: str) -> bool:
+        x, y = Counter(plain(a).split()), Counter(plain(b).split())
+        p, q = list((x - y).elements()), list((y - x).elements())
+        for w in list(p):
+            if w.isdigit() or len(w) < 3:
+                continue
+            # Of three letters only a swap or a doubling counts as a typo.
+            hit = next((v for v in q if not v.isdigit() and within(w, v, 1) and (len(w) > 3 or set(w) == set(v))), None)
+            if hit is not None:
+                p.remove(w)
+                q.remove(hit)
+        u, v = [w for w in p if w not in wording], [w for w in q if w not in wording]
+        if not u and not v:
+            return True
+        # A typo may fall on a space: then the rests agree when written together.
+        order_a, order_b = [w for w in plain(a).split() if w in p], [w for w in plain(b).split() if w in q]
+        return bool(order_a and order_b) and len(order_a) <= 3 and len(order_b) <= 3 and within("".join(order_a), "".join(order_b), 1)
+
+    return same
