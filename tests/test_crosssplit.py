@@ -1,0 +1,59 @@
+from hypothesis import given
+from hypothesis import strategies as st
+
+from sparkloom.functions.normalise import answer_key, within, words
+from sparkloom.operators.crosssplit import chunks, cross_split_pairs, overlap, same_question
+from sparkloom.plans.p5 import FRACTION, PHRASES, WORDING
+
+SCHEMA = "rid bigint, train boolean, question string, answer string, id string, t string"
+SAME = same_question(WORDING, PHRASES)
+
+
+def test_pairs_through_wording_typos_and_notations(spark):
+    q = "In the clip named Trozipohogu, after the diver folds the drawer, who repairs the pointed telescope in Faerlozona?"
+    rows = [
+        (1, True, q, "Klidocenomu Thouthustad"),
+        (2, False, q.upper(), '"klidocenomu thouthustad."'),
+        (3, False, "Who repairs the pointed telescop in Faerlozona in the clip named Trozipohogu, after the diver folds the drawer? (short answer)", "Klidocenomu Thouthustad"),
+        (4, False, q, "Another Answer"),
+        (5, False, q.replace("Trozipohogu", "Kapunoboga"), "Klidocenomu Thouthustad"),
+        (6, True, q, "Klidocenomu Thouthustad"),
+        (7, False, None, "x"), (8, None, q, "x"), (9, True, "", ""), (10, False, q, None), (None, False, q, "Klidocenomu Thouthustad"), (2, False, q.upper(), '"klidocenomu thouthustad."'),
+        (11, True, "word " * 20000, "long"), (12, False, "word " * 20000, "long"),
+    ]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    got = {(r[0], r[1]) for r in cross_split_pairs(df, "rid", "train", "question", "answer", FRACTION, SAME).select("left_id", "right_id").collect()}
+    assert got == {(1, 2), (1, 3), (6, 2), (6, 3), (11, 12)}
+
+
+def test_empty(spark):
+    assert cross_split_pairs(spark.createDataFrame([], SCHEMA), "rid", "train", "question", "answer", FRACTION, SAME).count() == 0
+
+
+def test_against_all_pairs(spark):
+    """The prefix filter loses no pair at the fraction."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(120)]
+    texts += [" ".join(w if rng.random() > 0.15 else rng.choice(vocabulary) for w in t.split()) for t in texts]
+    rows = [(i, i < 120, t, "a", None, None) for i, t in enumerate(texts)]
+    got = {tuple(r) for r in cross_split_pairs(spark.createDataFrame(rows, SCHEMA), "rid", "train", "question", "answer", 0.5, lambda a, b: True).select("left_id", "right_id").collect()}
+    c = chunks(texts)
+    assert got == {(i, j) for i in range(120) for j in range(120, 240) if overlap(c[i], c[j]) >= 0.5}
+
+
+def test_answer_notations():
+    for a, b in (("Seventy-five", "75"), ("7 August 2008", "2008-08-07"), ("August 7, 2008", "7 Aug 2008"), ("405m", "405 metres"), ("92,810 s", "92810"), ("A & B", "A and B"), ("A; B", "a, b"), ("The Tower.", "tower")):
+        assert answer_key(a) == answer_key(b), (a, b)
+    assert answer_key("75") != answer_key("76") and answer_key("7 August 2008") != answer_key("8 August 2008")
+
+
+@given(st.text(alphabet="abc", max_size=6), st.text(alphabet="abc", max_size=6))
+def test_within_is_symmetric_and_reflexive(a, b):
+    assert within(a, a, 0) and within(a, b, 2) == within(b, a, 2)
+
+
+def test_words():
+    assert words("<p>Ánc­hor</p> nаmе_x") == ["anchor", "name", "x"]

@@ -1,0 +1,50 @@
+import numpy as np
+
+from sparkloom.operators.pivots import group_pivots, nearest
+
+SCHEMA = "vid bigint, vec array<float>, id string, neighbour string"
+
+
+def _rows(x, ids):
+    return [(int(i), [float(v) for v in row], "c", None) for i, row in zip(ids, x)]
+
+
+def test_recall_against_exhaustive_search(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 64))
+    x = (centres[rng.integers(0, 12, 3000)] + 0.7 * rng.normal(size=(3000, 64))).astype(np.float32)
+    out = nearest(spark.createDataFrame(_rows(x, range(3000)), SCHEMA), "vid", "vec").toPandas()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :10]
+    got = out.groupby("id").neighbour.apply(set)
+    assert np.mean([len(got[i] & set(true[i])) for i in range(3000)]) / 10 >= 0.9
+    assert (out.groupby("id").size() == 10).all() and set(out["rank"]) == set(range(1, 11))
+
+
+def test_bad_vectors_copies_and_ties(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 64)).astype(np.float32)
+    rows = _rows(x, range(40)) + _rows(np.repeat(x[:1], 15, 0), range(100, 115))  # 16 copies of vector 0
+    rows += _rows(2 * x[1:2], [200])  # the same direction
+    rows += [(300, None, None, None), (301, [0.0] * 64, None, None), (302, [1.0] * 63, None, None), (303, [float("nan")] + [1.0] * 63, None, None), (304, [float("inf")] + [1.0] * 63, None, None), (305, [None] + [1.0] * 63, None, None), (None, [1.0] * 64, None, None)]
+    rows += rows[:2]  # repeated rows
+    out = nearest(spark.createDataFrame(rows, SCHEMA), "vid", "vec").toPandas()
+    assert set(out.id) <= set(range(40)) | set(range(100, 115)) | {200}
+    copies = [0, *range(100, 115)]
+    for i in copies:  # ten of the other copies, the lowest ids
+        assert list(out[out.id == i].sort_values("rank").neighbour) == [c for c in copies if c != i][:10]
+    assert out[(out.id == 1) & (out["rank"] == 1)].neighbour.item() == 200
+    assert not out.duplicated(["id", "neighbour"]).any() and (out.id != out.neighbour).all()
+
+
+def test_empty_and_tiny(spark):
+    assert nearest(spark.createDataFrame([], SCHEMA), "vid", "vec").count() == 0
+    one = spark.createDataFrame([(1, [1.0] * 64, None, None)], SCHEMA)
+    assert nearest(one, "vid", "vec").count() == 0
+
+
+def test_groups_are_balanced():
+    g = group_pivots(np.random.default_rng(0).normal(size=(100, 64)).astype(np.float32), 8)
+    assert np.bincount(g).max() <= 8
