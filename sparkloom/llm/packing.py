@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.common import checkpoint, parallelism
+from sparkloom.common import checkpoint, parallelism, written
 
 #: Default tokenizer file (a parameter of every function that reads it).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -126,7 +126,8 @@ def places(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int,
 def pack(df: DataFrame, key: str, text: str, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
     """Containers of all pieces: container_id, slot, token_offset, doc_id, piece_no, n_tokens, char_start, char_end."""
     spark = df.sparkSession
-    pieces = measure(df, key, text, capacity, tokenizer)
+    # Written first: the range partitioning reads its input twice, once for a sample.
+    pieces = written(measure(df, key, text, capacity, tokenizer))
     parts = parallelism(spark)
     ranged = pieces.repartitionByRange(parts, "n_tokens", "doc_id", "piece_no").sortWithinPartitions("n_tokens", "doc_id", "piece_no")
     ranged = checkpoint(ranged).withColumn("part", F.spark_partition_id())
