@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.common import checkpoint, parallelism
+from sparkloom.common import checkpoint, parallelism, written
 from sparkloom.functions.normalise import fold, within
 
 _W = r"[^\W\d_]+"
@@ -328,7 +328,8 @@ def segment_lines(segments: DataFrame, extractor: Extractor) -> DataFrame:
             yield pd.DataFrame(rows, columns=["video_id", "start_s", "end_s", "seg_id", "run_no", "label", "speech"]).astype({"label": "Int32"})
 
     order = [F.col("video_id"), F.col("start_s").asc_nulls_last(), F.col("seg_id"), F.col("run_no")]
-    runs = segments.mapInPandas(extract, LINE).repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    # Written first: the range partitioning reads its input twice, once for a sample.
+    runs = written(segments.repartition(parallelism(spark)).mapInPandas(extract, LINE)).repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
     runs = checkpoint(runs).withColumn("part", F.spark_partition_id())
 
     def summary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
