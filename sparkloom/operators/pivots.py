@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.common import written
+from sparkloom.common import parallelism, written
 
 MIN_PIVOTS, MAX_PIVOTS, GROUP = 16, 4096, 8
 #: Entries of one unit of work; larger files are cut into blocks, each looked up on its own.
@@ -177,6 +177,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
         y = np.einsum("ij,ij->i", x[row].astype(np.float64), x[best[row, col]].astype(np.float64)) if len(row) else np.zeros(0)
         return pa.table({"id": pa.array(ids[row], pa.int64()), "neighbour": pa.array(ids[best[row, col]] if len(row) else [], pa.int64()), "cosine": pa.array(y, pa.float64())})
 
+    # A set number of partitions: the work of a group goes by its pairs, not by its bytes.
+    posted = posted.repartition(max(int(group_of.max()) + 1, parallelism(spark)), "grp")
     near = posted.groupBy("grp").applyInArrow(scan, "id bigint, neighbour bigint, cosine double")
     near = top_k(near, k)
     if not has:
@@ -206,10 +208,11 @@ def merge(best: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of each id, ranked. Each id has at most k from each of few groups, and the
-    list is cut to k before it is ranked."""
-    best = pairs.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    entry = F.struct((-F.col("cosine")).alias("d"), "neighbour")
-    lists = best.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("l"))
-    out = lists.select("id", F.posexplode("l").alias("rank", "e"))
+    """The k best distinct neighbours of each id, ranked. An id has at most k from each of its few groups, so its list is
+    short; entries of the same pair stand side by side once sorted, as cosines are cut to 9 decimals."""
+    entry = F.struct((-F.round("cosine", 9)).alias("d"), "neighbour")
+    lists = pairs.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    l = F.col("l")
+    once = F.filter(l, lambda x, i: (i == 0) | (F.get(l, i - 1)["neighbour"] != x["neighbour"]))
+    out = lists.select("id", F.posexplode(F.slice(once, 1, k)).alias("rank", "e"))
     return out.select("id", F.col("e.neighbour").alias("neighbour"), (-F.col("e.d")).alias("cosine"), (F.col("rank") + 1).cast("int").alias("rank"))
