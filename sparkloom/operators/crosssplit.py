@@ -69,16 +69,20 @@ def overlap(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
     return 2 * shared / total if total else 0.0
 
 
-def prefix(own: list[tuple[int, int]], counts: np.ndarray, fraction: float) -> list[int]:
-    """The digests a record posts: the rarest, until what remains is too short to reach the fraction alone."""
-    need = sum(n for _, n in own) * fraction / (2 - fraction)
-    rest, out = sum(n for _, n in own), []
-    for d, n in sorted(own, key=lambda x: (counts[x[0] % BUCKETS], x[0])):
+def prefix(own: list[tuple[int, int]], counts: np.ndarray, fraction: float) -> tuple[dict[int, int], int]:
+    """The digests a record posts, with their lengths in it, and the length of the rest: the rarest digests, until what
+    remains is too short to reach the fraction alone."""
+    size: Counter = Counter()
+    for d, n in own:
+        size[d] += n
+    rest = sum(size.values())
+    need, out = rest * fraction / (2 - fraction), {}
+    for d, n in sorted(size.items(), key=lambda x: (counts[x[0] % BUCKETS], x[0])):
         if rest < need:
             break
-        out.append(d)
+        out[d] = n
         rest -= n
-    return list(dict.fromkeys(out))
+    return out, rest
 
 
 def cross_split_pairs(df: DataFrame, key: str, side: str, text: str, answer: str, fraction: float, same: Callable[[str, str], bool]) -> DataFrame:
@@ -112,15 +116,23 @@ def cross_split_pairs(df: DataFrame, key: str, side: str, text: str, answer: str
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(r, a, d) for r, a, own in zip(f["rep"], f["a"], chunks(f["t"].tolist())) for d in prefix(own, counts, fraction)]
-            yield pd.DataFrame(out, columns=["rep", "a", "digest"])
+            out = []
+            for r, a, own in zip(f["rep"], f["a"], chunks(f["t"].tolist())):
+                posts, rest = prefix(own, counts, fraction)
+                total = sum(n for _, n in own)
+                out += [(r, a, d, n, rest, total) for d, n in posts.items()]
+            yield pd.DataFrame(out, columns=["rep", "a", "digest", "n", "rest", "total"])
 
-    def posted(which: DataFrame) -> DataFrame:
-        p = which.mapInPandas(post, "rep bigint, a string, digest bigint")
-        return p.select("rep", F.xxhash64("a", "digest").alias("k"))
+    def posted(which: DataFrame, side_: str) -> DataFrame:
+        p = which.mapInPandas(post, "rep bigint, a string, digest bigint, n int, rest int, total int")
+        return p.select(F.xxhash64("a", "digest").alias("k"), F.col("rep").alias(side_), *[F.col(c).alias(f"{side_}_{c}") for c in ("n", "rest", "total")])
 
     left, right = reps.where("side"), reps.where("not side")
-    pairs = posted(left).withColumnRenamed("rep", "l").join(posted(right).withColumnRenamed("rep", "r"), "k").select("l", "r").distinct()
+    pairs = posted(left, "l").join(posted(right, "r"), "k").groupBy("l", "r")
+    # Of the two, take the record whose posts end first in the common order: chunks shared before that end are posts of
+    # both, chunks shared behind it lie in its rest. Pairs that cannot reach the fraction so are not read.
+    shared = F.sum(F.least("l_n", "r_n")) + F.greatest(F.first("l_rest"), F.first("r_rest"))
+    pairs = pairs.agg(shared.alias("most"), (F.first("l_total") + F.first("r_total")).alias("both")).where(2 * F.col("most") >= fraction * F.col("both")).select("l", "r")
     pairs = pairs.join(right.select(F.col("rep").alias("r"), F.col("t").alias("rt"), F.col("a").alias("ra")), "r")
     pairs = pairs.join(left.select(F.col("rep").alias("l"), F.col("t").alias("lt"), F.col("a").alias("la")), "l").where("la = ra")
 
