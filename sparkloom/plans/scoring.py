@@ -28,7 +28,7 @@ q("grade_strict_box", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1 ELS
 q("grade_math", "SELECT o_orderkey, 1.0 AS score FROM orders")(
     lambda s, d: _orders(s, d).select("o_orderkey", G.math_score(F.concat(F.lit("\\boxed{\\dfrac{"), F.col("o_custkey").cast("string"), F.lit("}{7}}")), F.concat(F.col("o_custkey").cast("string"), F.lit("/7"))).alias("score"))
 )
-q("grade_numeric", "SELECT o_orderkey, abs(o_totalprice * 1.00005 - o_totalprice) <= 1e-4 * o_totalprice AS near, o_custkey = o_custkey + o_orderkey % 2 AS same FROM orders")(
+q("grade_numeric", "SELECT o_orderkey, abs(o_totalprice * 1.00005 - o_totalprice) <= 1e-4 * o_totalprice AS near, o_custkey = o_custkey + o_orderkey % 2 * o_custkey AS same FROM orders")(
     lambda s, d: _orders(s, d).select("o_orderkey", G.numeric_equal((F.col("o_totalprice") * 1.00005).cast("string"), F.col("o_totalprice").cast("string")).alias("near"), G.numeric_equal(F.concat((F.col("o_custkey") * 3).cast("string"), F.lit("/3")), (F.col("o_custkey") + F.col("o_orderkey") % 2 * F.col("o_custkey")).cast("string")).alias("same"))
 )
 q("grade_shape", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 0.0 ELSE 1.0 END AS score FROM orders")(
