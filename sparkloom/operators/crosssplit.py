@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -152,13 +153,19 @@ def cross_split_pairs(df: DataFrame, key: str, side: str, text: str, answer: str
 
 def same_question(wording: frozenset[str], phrases: tuple[tuple[str, str], ...]) -> Callable[[str, str], bool]:
     """Whether two normalised questions name the same things: after replacing phrases by their plain form, every
-    word of one that has no partner within one typo in the other is a wording word, as must be the other's rest."""
+    word of one that has no partner within one typo in the other is a wording word (a typo in it allowed), as must be the
+    other's rest."""
 
     def plain(t: str) -> str:
         for a, b in phrases:
             t = f" {t} ".replace(f" {a} ", f" {b} ").strip()
         return t
 
+    @lru_cache(maxsize=1 << 16)
+    def spoken(w: str) -> bool:
+        """A wording word, or one with a typo."""
+        return w in wording or (not w.isdigit() and len(w) > 1 and any(abs(len(w) - len(v)) < 2 and within(w, v, 1) for v in wording if len(v) > 1))
+
     def same(a: str, b: str) -> bool:
         x, y = Counter(plain(a).split()), Counter(plain(b).split())
         p, q = list((x - y).elements()), list((y - x).elements())
@@ -170,7 +177,7 @@ def same_question(wording: frozenset[str], phrases: tuple[tuple[str, str], ...])
             if hit is not None:
                 p.remove(w)
                 q.remove(hit)
-        u, v = [w for w in p if w not in wording], [w for w in q if w not in wording]
+        u, v = [w for w in p if not spoken(w)], [w for w in q if not spoken(w)]
         if not u and not v:
             return True
         # A typo may fall on a space: then the rests agree when written together.

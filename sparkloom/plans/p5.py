@@ -13,7 +13,7 @@ WORDING = frozenset(
     "a an the of in on at to for from by with and or is are was were be been do does did has have had that this these those which who whom whose what when where "
     "how many much it its there then please answer answers briefly short one word use using video videos clip clips give only just tell me us can could you "
     "total exact exactly overall show shows shown seen see displayed depicted visible up appear appears occur occurs stay stays remain remains name named called titled "
-    "following question reply final tool tools based watch according kindly tell".split()
+    "following question reply final tool tools based watch according kindly tell painted written".split()
 )
 #: Phrases and their plain form.
 PHRASES = (("show up", "appear"), ("shows up", "appears"), ("are seen", "are shown"), ("remain visible", "stay visible"), ("remains visible", "stays visible"))
