@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -161,7 +160,6 @@ def same_question(wording: frozenset[str], phrases: tuple[tuple[str, str], ...])
             t = f" {t} ".replace(f" {a} ", f" {b} ").strip()
         return t
 
-    @lru_cache(maxsize=1 << 16)
     def spoken(w: str) -> bool:
         """A wording word, or one with a typo."""
         return w in wording or (not w.isdigit() and len(w) > 1 and any(abs(len(w) - len(v)) < 2 and within(w, v, 1) for v in wording if len(v) > 1))
