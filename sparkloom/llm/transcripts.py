@@ -31,9 +31,10 @@ from sparkloom.common import checkpoint, parallelism, written
 from sparkloom.functions.normalise import fold, within
 
 _W = r"[^\W\d_]+"
-#: Marks that may stand before and behind a slot; a run of them, spaces aside, is one token of the tree.
-_BEFORE = re.compile(r"(?:<[a-z]\s+|[<>\[({@*#|~»«\-–—]+\s*)$")
-_BEHIND = re.compile(r"\s*[:：\])}>|*~»«]+|\s+[-–—]+(?=\s)")
+#: Marks that may stand before and behind a slot; a run of them, spaces aside, is one token of the tree. Stars are not among
+#: them: they open annotations.
+_BEFORE = re.compile(r"(?:<[a-z]\s+|[<>\[({@#|~»«\-–—]+\s*)$")
+_BEHIND = re.compile(r"\s*[:：\])}>|~»«]+|\s+[-–—]+(?=\s)")
 #: Numbers that may be a time: clock forms, and bracketed seconds.
 _TIME = r"\d{1,4}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?"
 _CLOCK = re.compile(rf"(?P<o>[<\[({{])\s?(?P<v>{_TIME}|\d{{1,6}}(?:\.\d+)?\s?s)\s?(?P<c>[>\])}}])|(?P<b>(?<![\w:.,]){_TIME}(?![\w:]))")

@@ -18,6 +18,7 @@ def test_every_notation_is_mined_and_read(spark):
     for f in FORMS:
         assert [r for r in x.runs(f + "um, the kettle turns") if r[0] or r[1]] == [(1, "the kettle turns")], f
     assert x.runs("the tent <00:00:03.898>>>SKUBIN: erm [music] ") [1:] == [(1, "")] or x.runs("the tent >>SKUBIN: erm [music]")[-1] == (1, "")
+    assert x.runs("Handinwick：*laughs*")[-1] == (1, "")
     assert x.runs("Skubin Handniwick: typo")[-1] == (1, "typo")
     assert x.runs("note: the furnace, (( coughs )) it cools") == [(None, "note: the furnace, it cools")]
     assert x.runs("[04:00] *laughs* ♪ music ♪ hmm {noise}") == [(None, "")]
