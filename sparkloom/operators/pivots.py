@@ -6,7 +6,8 @@ by the footrule distance of the pivot orders, the best ``keep`` are reranked by
 
 Pivots are a sample of the vectors (bounded by MAX_PIVOTS); every vector is indexed. Their number grows with
 the square root of the collection, so a file holds about ``post * sqrt(n)`` entries. Nearby pivots form groups
-of GROUP; a vector is sent once to each group it is posted or looked up in.
+of GROUP; a vector is sent once to each group it is posted or looked up in. A group of more than HOT vectors is cut into
+slices that meet pairwise, so no task holds an unbounded group and nothing is left out.
 
 Measured recall of the 10 nearest against exhaustive search: see README.
 
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from sparkloom.common import parallelism, written
 
 MIN_PIVOTS, MAX_PIVOTS, GROUP = 16, 4096, 8
-#: Entries of one unit of work; larger files are cut into blocks, each looked up on its own.
+#: Entries of a file looked up at a time.
 BLOCK = 32768
+#: Vectors of a group in one task; a larger group is cut into slices, each slice of it looked up in each other.
+HOT = 131072
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +71,16 @@ def group_pivots(pivots: np.ndarray, size: int = GROUP) -> np.ndarray:
     return out
 
 
-def search_file(order: np.ndarray, weights: np.ndarray, x: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def search_file(order: np.ndarray, pivots: int, x: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query row its best ``k`` member rows of one inverted file and their cosines (-2: none).
 
     The footrule distance of two truncated orders is a constant less twice the sum of the smaller of the two
     position weights, so the largest such sum is the smallest distance. The sums stay below 256 (uint8).
     """
-    w, mx = np.ascontiguousarray(weights[members].T), x[members]
-    length, n = order.shape[1], len(members)
+    length, n, mx = order.shape[1], len(members), x[members]
+    w = np.zeros((pivots, n), np.uint8)
+    if n > keep:
+        w[order[members].T, np.arange(n)[None, :]] = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
     mine = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
     k_ = min(k + 1, n)
     best, cos = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2, np.float32)
@@ -128,6 +133,21 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
     post, probe = min(post, m), min(probe, m)
     group_of = group_pivots(pivots)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(int(group_of.max()) + 1, np.int64)
+        for b in batches:
+            x = unit_vectors(b.column("v"), dim)[1]
+            if len(x):
+                at = np.sort(group_of[nearest_order(x, pivots, probe)], axis=1)
+                new = np.ones(at.shape, bool)
+                new[:, 1:] = at[:, 1:] != at[:, :-1]
+                total += np.bincount(at[new], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["grp", "n"])
+
+    # One row per group (at most MAX_PIVOTS / GROUP * 2 of them).
+    sizes = {r["grp"]: r["n"] for r in src.mapInArrow(count, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+    slices = np.array([max(1, -(-sizes.get(g, 0) // HOT)) for g in range(int(group_of.max()) + 1)], np.int64)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = unit_vectors(b.column("v"), dim)
@@ -140,34 +160,41 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
             new = np.ones(at.shape, bool)
             new[:, 1:] = at[:, 1:] != at[:, :-1]
             row, col = np.nonzero(new)
-            xb, ob = x.tobytes(), o.tobytes()
+            grp = at[row, col]
+            # A slice of a hot group meets every slice, itself once: as entries (own, other), as queries (other, own).
+            s = slices[grp]
+            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % s
+            times = 2 * s - 1
+            k_ = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, grp, own, s = (np.repeat(z, times) for z in (row, grp, own, s))
+            other = np.where(k_ < s, k_, k_ - s)
+            other = np.where((k_ >= s) & (other >= own), other + 1, other)
+            entry, query = np.where(k_ < s, own, other), np.where(k_ < s, other, own)
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(at[row, col], pa.int32()),
-                    pa.array(ids[row], pa.int64()),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(xb)]).take(pa.array(row)).cast(pa.binary()),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(x), [None, pa.py_buffer(ob)]).take(pa.array(row)).cast(pa.binary()),
+                    pa.array(grp, pa.int32()), pa.array(entry, pa.int32()), pa.array(query, pa.int32()), pa.array(own, pa.int32()), pa.array(ids[row], pa.int64()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.tobytes())]).take(take).cast(pa.binary()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(x), [None, pa.py_buffer(o.tobytes())]).take(take).cast(pa.binary()),
                 ],
-                names=["grp", "id", "x", "o"],
-            )
+                names=["grp", "entry", "query", "own", "id", "x", "o"],
+            )
 
-    posted = src.mapInArrow(send, "grp int, id bigint, x binary, o binary")
+    posted = src.mapInArrow(send, "grp int, entry int, query int, own int, id bigint, x binary, o binary")
 
     def scan(t: pa.Table) -> pa.Table:
-        grp = t["grp"][0].as_py()
-        ids = t["id"].to_numpy()
+        grp, entry, query = (t[c][0].as_py() for c in ("grp", "entry", "query"))
+        ids, own = t["id"].to_numpy(), t["own"].to_numpy()
         x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float32).reshape(-1, dim)
         o = np.frombuffer(b"".join(t["o"].to_pylist()), np.uint16).reshape(-1, length).astype(np.int64)
-        weights = np.zeros((len(ids), m), np.uint8)
-        np.put_along_axis(weights, o, np.arange(length, 0, -1, dtype=np.uint8)[None, :], 1)
         best = np.full((len(ids), 0), -1, np.int64)
         cos = np.full((len(ids), 0), -2, np.float32)
         for p in np.flatnonzero(group_of == grp):
-            members, queries = np.flatnonzero((o[:, :post] == p).any(1)), np.flatnonzero((o[:, :probe] == p).any(1))
+            members, queries = np.flatnonzero((o[:, :post] == p).any(1) & (own == entry)), np.flatnonzero((o[:, :probe] == p).any(1) & (own == query))
             if not len(queries):
                 continue
             for a in range(0, len(members), BLOCK):
-                r, c = search_file(o, weights, x, members[a : a + BLOCK], queries, k, keep)
+                r, c = search_file(o, m, x, members[a : a + BLOCK], queries, k, keep)
                 full_r, full_c = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -2, np.float32)
                 full_r[queries], full_c[queries] = r, c
                 best, cos = np.concatenate([best, full_r], 1), np.concatenate([cos, full_c], 1)
@@ -178,8 +205,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
         return pa.table({"id": pa.array(ids[row], pa.int64()), "neighbour": pa.array(ids[best[row, col]] if len(row) else [], pa.int64()), "cosine": pa.array(y, pa.float64())})
 
     # A set number of partitions: the work of a group goes by its pairs, not by its bytes.
-    posted = posted.repartition(max(int(group_of.max()) + 1, parallelism(spark)), "grp")
-    near = posted.groupBy("grp").applyInArrow(scan, "id bigint, neighbour bigint, cosine double")
+    on = ["grp", "entry", "query"]
+    posted = posted.repartition(max(int((slices * slices).sum()), parallelism(spark)), *on)
+    near = posted.groupBy(*on).applyInArrow(scan, "id bigint, neighbour bigint, cosine double")
     near = top_k(near, k)
     if not has:
         return near

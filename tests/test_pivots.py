@@ -48,3 +48,15 @@ def test_empty_and_tiny(spark):
 def test_groups_are_balanced():
     g = group_pivots(np.random.default_rng(0).normal(size=(100, 64)).astype(np.float32), 8)
     assert np.bincount(g).max() <= 8
+
+
+def test_hot_groups_are_cut_into_slices(spark, monkeypatch):
+    """A third and more of all vectors around one pivot: the same lists, whatever the slices."""
+    from sparkloom.operators import pivots
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=64) + 0.3 * rng.normal(size=(300, 64)), rng.normal(size=(400, 64))]).astype(np.float32)
+    df = spark.createDataFrame(_rows(x, range(700)), SCHEMA)
+    whole = sorted((r["id"], r["neighbour"]) for r in nearest(df, "vid", "vec", keep=1000).collect())
+    monkeypatch.setattr(pivots, "HOT", 90)
+    assert sorted((r["id"], r["neighbour"]) for r in nearest(df, "vid", "vec", keep=1000).collect()) == whole
