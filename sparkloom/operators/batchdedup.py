@@ -78,6 +78,11 @@ def alike(a: str, b: str, by_letter: bool = False) -> bool:
     return m.quick_ratio() >= SAME and m.ratio() >= SAME
 
 
+def _same(x: list[str], y: list[str]) -> bool:
+    """Whether title, description and subtitle are all alike."""
+    return alike(x[0], y[0], True) and alike(x[1], y[1]) and alike(x[2], y[2])
+
+
 def _classes(records: DataFrame) -> DataFrame:
     """Per record its content class and, per class, the normalised fields."""
 
@@ -145,13 +150,10 @@ class History:
         indexed = self.posted.where("role < 0").repartition(self.parts, *self.KEYS)
         self.shards = written(indexed.groupBy(*self.KEYS).applyInArrow(make, "level int, block int, part int, ids array<string>, x binary, g binary"))
 
-    def matches(self, asking: DataFrame | None = None, whole: bool = False) -> DataFrame:
-        """(a, b, full): classes a and their matches b, MATCHES a shard; ``full`` marks lists that end before the matches do.
-        With ``whole`` those are searched again, twice as far, until they do not. ``asking``: only these classes (cls)."""
+    def matches(self) -> DataFrame:
+        """(a, b, full): classes a and their matches b, MATCHES a shard; ``full`` marks lists that end before the matches do."""
         keys = list(self.KEYS)
         queries = self.posted.where("role >= 0")
-        if asking is not None:
-            queries = queries.join(asking.select("cls").distinct(), "cls", "left_semi")
         # A shard searched by many records is searched in several tasks; counts per shard: a few rows per batch.
         load = queries.groupBy(*keys).count().withColumn("tasks", F.ceil(F.col("count") / QUERIES_PER_TASK).cast("int")).drop("count")
         queries = queries.join(load, keys).withColumn("task", F.col("role") % F.col("tasks"))
@@ -167,18 +169,13 @@ class History:
             q, who = _units(asked["v"].to_pylist()), np.array(asked["cls"].to_pylist(), object)
             beam = smallworld.tune(x, g, q)
             k = MATCHES + 1
-            todo, out = np.arange(len(q)), []
-            while len(todo):
-                node, sim = smallworld.search(x, g, len(x), q[todo], max(beam, k), k)
-                ok = (node >= 0) & (sim >= NEAR)
-                full = ok.all(1) & (k < len(x))
-                again = full if whole else np.zeros(len(todo), bool)
-                r, c = np.nonzero(ok & ~again[:, None])
-                a, b = who[todo[r]], ids[node[r, c]]
-                keep = a != b
-                out.append((a[keep], b[keep], full[r][keep]))
-                todo, k = todo[again], min(2 * k, len(x))
-            a, b, f = (np.concatenate(z) for z in zip(*out))
+            node, sim = smallworld.search(x, g, len(x), q, max(beam, k), k)
+            ok = (node >= 0) & (sim >= NEAR)
+            full = ok.all(1) & (k < len(x))
+            r, c = np.nonzero(ok)
+            a, b = who[r], ids[node[r, c]]
+            keep = a != b
+            a, b, f = a[keep], b[keep], full[r][keep]
             return pa.table({"a": pa.array(a.tolist(), pa.string()), "b": pa.array(b.tolist(), pa.string()), "full": pa.array(f.astype(bool))}, schema=schema)
 
         on = [*keys, "task"]
@@ -186,6 +183,38 @@ class History:
         shards = copies.select(*on, "ids", "x", "g").repartition(self.parts, *on)
         return shards.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(find, "a string, b string, full boolean")
 
+    def lowest(self, asking: DataFrame, taken: DataFrame, reps: DataFrame) -> DataFrame:
+        """(a, b): for each class of ``asking`` (cls) the class alike to it with the lowest record of ``taken`` (cls, ord, rid).
+        Shards are read whole, in the order of the records, up to the first that is alike: no limit, and no list of pairs."""
+        keys, fields = list(self.KEYS), ["title", "description", "subtitle"]
+        asked = self.posted.where("role >= 0").join(asking.select("cls"), "cls", "left_semi")
+        load = asked.groupBy(*keys).count().withColumn("tasks", F.ceil(F.col("count") / QUERIES_PER_TASK).cast("int")).drop("count")
+        asked = asked.join(load, keys).withColumn("task", F.col("role") % F.col("tasks")).join(reps.select("cls", *fields), "cls")
+        known = self.posted.where("role < 0").join(load, keys).join(taken, "cls").join(reps.select("cls", *fields), "cls")
+        known = known.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+
+        def first(known: pa.Table, asked: pa.Table) -> pa.Table:
+            schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("ord", pa.int32()), ("rid", pa.int64())])
+            if not known.num_rows or not asked.num_rows:
+                return schema.empty_table()
+            known = known.sort_by([("ord", "ascending"), ("rid", "ascending")])
+            x, q = _units(known["v"].to_pylist()), _units(asked["v"].to_pylist())
+            ids, who = known["cls"].to_pylist(), asked["cls"].to_pylist()
+            old, new = ([t[c].combine_chunks() for c in fields] for t in (known, asked))
+            pairs = []
+            for at in range(0, len(q), 512):
+                for r, near in enumerate(q[at : at + 512] @ x.T >= NEAR, at):
+                    mine = [c[r].as_py() for c in new]
+                    pairs += next(([(r, int(c))] for c in np.flatnonzero(near) if ids[c] != who[r] and _same(mine, [o[int(c)].as_py() for o in old])), [])
+            at = pa.array([c for _, c in pairs], pa.int64())
+            return pa.table({"a": pa.array([who[r] for r, _ in pairs], pa.string()), "b": known["cls"].take(at), "ord": known["ord"].take(at), "rid": known["rid"].take(at)}, schema=schema)
+
+        on = [*keys, "task"]
+        asked = asked.select(*[F.col(c).alias(c) for c in (*on, "cls", "v", *fields)]).repartition(self.parts, *on)
+        known = known.select(*on, "cls", "v", "ord", "rid", *fields).repartition(self.parts, *on)
+        best = known.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(first, "a string, b string, ord int, rid bigint")
+        return best.groupBy("a").agg(F.min(F.struct("ord", "rid", "b"))["b"].alias("b"))
+
 
 def _units(blobs: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), np.int8).reshape(-1, DIM).astype(np.float32)
@@ -201,11 +230,15 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = [alike(r.a_title, r.b_title, True) and alike(r.a_description, r.b_description) and alike(r.a_subtitle, r.b_subtitle) for r in f.itertuples()]
+            keep = [_same([r.a_title, r.a_description, r.a_subtitle], [r.b_title, r.b_description, r.b_subtitle]) for r in f.itertuples()]
             yield f[keep][["a", "b"]]
 
     near = pairs.repartition(parallelism(reps.sparkSession)).mapInPandas(exact, "a string, b string")
-    return written(near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*"))
+    return written(_both(near))
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
 
 
 def _decide(base: DataFrame, reach: DataFrame) -> DataFrame:
@@ -265,23 +298,16 @@ def refused(records: DataFrame, committed: DataFrame) -> DataFrame:
     reach = _verified(found, reps)
     full = written(found.where("full").select(F.col("a").alias("cls")).distinct())
     state = _decide(base, reach)
-    # A family of more edited copies than a list holds: whoever stays accepted with a full list asks who refused its
-    # matches; only if that does not tell, it is searched without a limit. No list of all pairs of a family is made.
-    some, widened = full.limit(1).count() > 0, False
-    while some:
-        doubt = state.where("state = 1").join(full, "cls").select(F.col("cls").alias("a")).distinct()
-        leads = state.where("state = 2 and by is not null").select(F.col("cls").alias("b"), "by").join(base.select(F.col("rid").alias("by"), F.col("cls").alias("lead")), "by")
-        hop = doubt.join(reach, "a").join(leads, "b").select("a", F.col("lead").alias("b")).where("a <> b and b is not null").distinct()
-        more = _verified(hop.join(reach, ["a", "b"], "left_anti"), reps)
+    # A family of more edited copies than a list holds: whoever has a full list, accepted or refused, asks for the lowest
+    # accepted record alike to it, until that is known of all under the verdicts at hand. What a batch gets depends on
+    # earlier batches only, so the verdicts are then those of deciding batch by batch.
+    while full.limit(1).count():
+        taken = base.where("cls is not null and not skipped").join(state.where("state = 2").select("rid"), "rid", "left_anti")
+        taken = taken.groupBy("cls").agg(F.min(F.struct("ord", "rid")).alias("s")).select("cls", "s.*")
+        more = written(history.lowest(full, taken, reps).join(reach, ["a", "b"], "left_anti"))
         if more.limit(1).count() == 0:
-            if widened:
-                break
-            widened = True
-            wide = history.matches(doubt.select(F.col("a").alias("cls")), whole=True)
-            more = _verified(wide.select("a", "b").join(reach, ["a", "b"], "left_anti"), reps)
-            if more.limit(1).count() == 0:
-                break
-        reach = written(reach.unionByName(more))
+            break
+        reach = written(reach.unionByName(_both(more)).distinct())
         state = _decide(base, reach)
     skipped = base.where("skipped").select(F.lit(0).cast("bigint").alias("first_record_id"), F.col("rid").alias("record_id"))
     return skipped.unionByName(state.where("state = 2 and by is not null").select(F.col("by").alias("first_record_id"), F.col("rid").alias("record_id")))

@@ -65,6 +65,38 @@ def test_many_near_copies(spark):
     assert got == {(0, i) for i in range(1, 40)}
 
 
+def test_first_of_many_accepted_copies_is_named(spark):
+    """The first batch holds more copies than a search returns; all are accepted and the lowest is named."""
+    rows = [(i, 0, _id(i), "u", "same", "same words", f"{SUB} n{i}") for i in range(30)]
+    rows += [(100 + i, 1 + i % 2, _id(100 + i), "u", "same", "same words", f"{SUB} n{i} m{i}") for i in range(30)]
+    assert _run(spark, rows, [(i, []) for i in range(3)]) == {(0, 100 + i) for i in range(30)}
+
+
+def test_drifting_families_against_a_sequential_simulation(spark):
+    """Families that drift apart block by block: who is accepted hangs on who was refused, with every list full."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(2):
+        w = [f"f{f}w{i}" for i in range(80)]
+        for i in range(60):
+            v = list(w)
+            if i % 6 == 5:  # the family moves on
+                at = int(rng.integers(0, 74))
+                w[at : at + 5] = [f"f{f}s{i}x{j}" for j in range(5)]
+            v[79] = f"n{i}"
+            rows.append((f * 1000 + i, i // 10, _id(f * 1000 + i), "u", f"title {f}", f"words {f}", " ".join(v)))
+    accepted, want = [], set()
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        by = [a[0] for a in accepted if a[1] < r[1] and a[4] == r[4] and alike(a[6], r[6])]
+        if by:
+            want.add((min(by), r[0]))
+        else:
+            accepted.append(r)
+    # Ids rise with the batch within a family only, which is all that is named.
+    assert len({a for a, _ in want}) > 3
+    assert _run(spark, rows, [(i, []) for i in range(6)]) == want
+
+
 def test_video_ids(spark):
     forms = ["abcDEF_-123", " abcDEF_-123\n", "https://www.tube.example/watch?v=abcDEF_-123", "http://m.tube.example/watch?app=m&v=abcDEF_-123", "https://tu.example/abcDEF_-123", "tube.example/embed/abcDEF_-123", "https://www.tube.example/shorts/abcDEF_-123?feature=share"]
     df = spark.createDataFrame([(f,) for f in forms], "f string")
