@@ -9,7 +9,7 @@ LINKS, MOST = 10, 32
 #: Nodes scanned to choose where a search starts, and starts per search.
 SEEDS, STARTS = 8192, 16
 #: Beam widths tried, narrowest first (a wider one costs more than reading the whole shard, which is what follows), the recall against exhaustive search that ends the try, and probes of each kind.
-BEAMS, TARGET, TRIED = (32, 64, 128), 0.99, 128
+BEAMS, TARGET, TRIED = (32, 64, 128), 1.0, 1024
 
 
 def _top(sim: np.ndarray, k: int) -> np.ndarray:

@@ -115,3 +115,18 @@ def test_graph_search_against_exhaustive():
     assert (node[:, 0] == (q @ x.T).argmax(1)).mean() >= 0.98
     same = np.repeat(x[:1], 3000, 0)  # equal vectors must not make the search turn in circles
     smallworld.search(same, smallworld.build(same), 3000, q[:5], 16, 4)
+
+
+def test_shards_with_nodes_out_of_reach_are_read_whole():
+    """A few nodes have no link to them; the graph is walked where all probes are found, else the shard is read whole."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(600, 24))
+    x = (centre[rng.integers(0, 600, 10000)] + 0.4 * rng.normal(size=(10000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = smallworld.build(x)
+    seeds = set(np.linspace(0, len(x) - 1, smallworld.SEEDS).astype(int).tolist())
+    lost = np.array([i for i in np.linspace(0, len(x) - 1, 1024).astype(int) if i not in seeds])[:6]
+    g[np.isin(g, lost)] = -1
+    beam = smallworld.tune(x, g, x[:64])
+    node, _ = smallworld.search(x, g, len(x), x[lost], beam, 1)
+    assert (node[:, 0] == lost).all()
