@@ -6,7 +6,8 @@
    every document of the corpus.
 3. A randomised SVD of the test passages' matrix, with its products computed over partitions, gives the latent space.
 4. Every passage of every document is folded in and compared with every test passage (a stated query set, in blocks
-   of items); pairs with a cosine of at least ``near`` are candidates.
+   of items); pairs with a cosine of at least ``near`` are candidates, and so are passages that hold
+   a run of the item, looked up among all runs whatever their cosine.
 5. A candidate counts as verbatim if it holds ``run`` consecutive words of the item, else as a paraphrase if the
    longest common subsequence covers ``share`` of the test passage and the document holds the item's answer.
 
@@ -211,6 +212,11 @@ def _leaks_of(src: DataFrame, items: list, run: int, near: float, share: float,
     e /= np.maximum(np.linalg.norm(e, axis=1), 1e-9)[:, None]
     item_of = np.array([n for n, _, _ in space.passages])
 
+    grams: dict[tuple[str, ...], list[int]] = {}
+    for n, held in enumerate(space.runs):
+        for g in held:
+            grams.setdefault(g, []).append(n)
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keys, bodies = f["doc_id"].tolist(), f["body"].tolist()
@@ -218,6 +224,13 @@ def _leaks_of(src: DataFrame, items: list, run: int, near: float, share: float,
             for a in range(0, len(keys), 256):
                 texts = [text_words(b) for b in bodies[a : a + 256]]
                 z, owner, start = space.fold(table, texts)
+                for d, t in enumerate(texts):
+                    held = {(k // STEP, n) for k in range(len(t) - run + 1) for n in grams.get(tuple(t[k : k + run]), ())}
+                    if held:
+                        lo, hi = np.searchsorted(owner, [d, d + 1])
+                        for x, n in held:
+                            x = min(lo + x, hi - 1)
+                            found.append((keys[a + d], items[n][0], float((e[item_of == n] @ z[x]).max()), "verbatim", int(start[x])))
                 for c in range(0, len(z), 2048):
                     sim = z[c : c + 2048] @ e.T
                     p, q = np.nonzero(sim >= near)

@@ -40,6 +40,17 @@ def test_runs_of_fifteen_words_are_found_and_fourteen_are_not(spark):
     assert got == want
 
 
+def test_runs_of_common_words_between_other_items(spark):
+    """A run that says little, in a passage full of other items' rare words, has a low cosine and is found all the same."""
+    rng, common, items = _world()
+    plain = rng.sample(common, 15)
+    items[0][:15] = plain
+    docs = [(d, " ".join([*items[d][5:19], "stop", *plain[: 15 - d // 6], "stop", *items[d + 1][5:19]]), None, None) for d in range(1, 11)]
+    rows = [(k, " ".join(w), None, "x") for k, w in enumerate(items)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == {(d, 0) for d in range(1, 6)}
+
+
 def test_paraphrase_needs_order_and_answer(spark):
     _, _, items = _world()
     item = items[0][:30]
