@@ -1,7 +1,8 @@
 """Recursive-bisection splitting of oversized texts at natural boundaries.
 
 A text longer than ``max_size`` characters is bisected: the cut goes to the strongest boundary near the
-midpoint (paragraph, line, sentence end, clause mark, white space, else a bare character position), and
+midpoint (paragraph, line, sentence end, clause mark, white space), else to the nearest boundary further out, and only
+where there is none to a bare character position;
 every half longer than ``max_size - overlap`` is bisected again. Then each piece but the first is extended
 to the left by exactly ``overlap`` characters, so that consecutive pieces share them and none exceeds
 ``max_size``. Dropping the first ``overlap`` characters of each later piece and concatenating restores the text.
@@ -52,6 +53,13 @@ def bisect_spans(text: str, limit: int, shortest: int = 1) -> list[tuple[int, in
     if limit < 1:
         raise ValueError("the limit must exceed the overlap")
     marks = boundaries(text)
+
+    def nearest(xs: list[int], lo: int, hi: int, mid: int) -> list[int]:
+        """The one of xs within lo .. hi that is nearest to mid, if any."""
+        i, j = bisect_left(xs, lo), bisect_right(xs, hi)
+        k = bisect_left(xs, mid, i, j) if i < j else 0
+        return [min(xs[max(i, k - 1) : min(j, k + 1)], key=lambda x: (abs(x - mid), x))] if i < j else []
+
     out, todo = [], [(0, len(text), 0)]
     while todo:
         a, b, strength = todo.pop()
@@ -67,13 +75,15 @@ def bisect_spans(text: str, limit: int, shortest: int = 1) -> list[tuple[int, in
             lo, hi = max(lo, b - limit), min(hi, a + limit)
         cut, force = mid, 0
         for s in (5, 4, 3, 2, 1):
-            xs = marks[s]
-            i, j = bisect_left(xs, lo), bisect_right(xs, hi)
-            if i < j:
-                k = bisect_left(xs, mid, i, j)
-                cut = min(xs[max(i, k - 1) : min(j, k + 1)], key=lambda x: (abs(x - mid), x))
-                force = s
+            if near := nearest(marks[s], lo, hi, mid):
+                cut, force = near[0], s
                 break
+        else:  # no boundary there: the one nearest the middle that leaves both sides long enough, before a bare cut
+            least = max(1, shortest)
+            far = [(abs(x - mid), -s, x) for s in (5, 4, 3, 2, 1) for x in nearest(marks[s], a + least, b - least, mid)]
+            if far:
+                _, force, cut = min(far)
+                force = -force
         cut = min(max(cut, a + 1), b - 1)
         todo.append((cut, b, force))
         todo.append((a, cut, strength))

@@ -22,6 +22,13 @@ def test_cuts_at_the_strongest_boundary_near_the_middle():
     assert text[a:b].endswith("\n\n") and s == 5 and (b, d) == (c, len(text))
 
 
+def test_boundaries_far_from_the_middle_come_before_bare_cuts():
+    for text in ("x" * 5 + " " + "y" * 90, "y" * 89 + " " + "x" * 6, "x" * 30 + " " + "y" * 68):
+        spans = bisect_spans(text, 90 if len(text) < 97 else 70, 2)
+        assert [s for _, _, s in spans] == [0, 1] and "".join(text[a:b] for a, b, _ in spans) == text
+    assert [s for _, _, s in bisect_spans("x " + "y" * 120, 70, 5)] == [0, 0]  # too close to the start for an overlap
+
+
 SCHEMA = "id bigint, body string, item_key string, piece string"
 
 
