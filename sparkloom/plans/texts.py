@@ -31,6 +31,8 @@ def _solved(s, d):
 
 
 q("text_tokenize", "SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS tokens FROM documents WHERE lang = 'en'")(lambda s, d: _docs(s, d).where("lang = 'en'").select("doc_id", T.tokens(F.col("text")).alias("tokens")))
+# All languages; no SQL, as lower() of letters outside ASCII differs between engines.
+q("text_tokenize_all")(lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens")))
 q("text_document", "SELECT video_idx, concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(subtitle, ''), nullif(array_to_string(tags, ' '), '')) AS body FROM videos")(
     lambda s, d: _videos(s, d).select("video_idx", T.document_text(F.col("title"), F.col("description"), F.col("subtitle"), F.array_join("tags", " ")).alias("body"))
 )
