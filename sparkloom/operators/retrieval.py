@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
-from sparkloom.operators.pivots import unit_vectors
+from sparkloom.functions.vectors import unit_vectors
 
 K1, B = 1.5, 0.75
 #: Queries shipped to the executors at a time by the dense search; more are searched in further passes.
