@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.common import parallelism
-from sparkloom.functions.normalise import words
+from sparkloom.llm.normalise import words
 
 STEP, BLOCK, RANK, SEED = 15, 2000, 256, 7
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.common import checkpoint, parallelism, written
-from sparkloom.functions.normalise import fold, within
+from sparkloom.llm.normalise import fold, within
 
 _W = r"[^\W\d_]+"
 #: Marks that may stand before and behind a slot; a run of them, spaces aside, is one token of the tree. Stars are not among
