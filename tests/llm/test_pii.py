@@ -4,25 +4,85 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sparkloom.llm.pii import Finder, common_words, lexicon, permute_digits, places, pseudonym, redact, redacted
+from sparkloom.llm.pii import DATE, SCHEMES, Finder, common_words, date_pseudonym, id_pseudonym, lexicon, national, permute_text, phone_pseudonym, places, read_date, redact, redacted
 
 FINDER = Finder(frozenset({"neirna", "amber", "yorel", "sogon", "lelya", "dobon"}), frozenset({"bridge", "fafonarro", "field", "kalvyaette", "muthinelle", "romisson", "zavimond", "zavarro", "tukarro", "sevimond", "penarro", "tukinarro"}), frozenset({"amber", "bridge"}))
 KEY = b"k"
 
 
-@given(st.text(alphabet="0123456789", min_size=1, max_size=18))
-def test_feistel_is_a_permutation(digits):
-    assert permute_digits(permute_digits(digits, KEY), KEY, back=True) == digits
-    assert len(permute_digits(digits, KEY)) == len(digits)
+@given(st.text(alphabet="0123456789ABCXYZ", min_size=1, max_size=18))
+def test_feistel_is_a_permutation(value):
+    new = permute_text(value, KEY)
+    assert permute_text(new, KEY, back=True) == value
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in value]
 
 
 def test_feistel_hits_every_value_once():
-    assert {permute_digits(f"{i:03d}", KEY) for i in range(1000)} == {f"{i:03d}" for i in range(1000)}
+    assert {permute_text(f"{i:03d}", KEY) for i in range(1000)} == {f"{i:03d}" for i in range(1000)}
+    letters = [f"{a}{b}{i}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in range(10)]
+    assert {permute_text(x, KEY) for x in letters} == set(letters)
 
 
-def test_pseudonyms_keep_the_format():
-    p = pseudonym("+44 20 7946-0545 A", KEY)
-    assert re.fullmatch(r"\+\d\d \d\d \d{4}-\d{4} [A-Z]", p) and pseudonym(p, KEY, back=True) == "+44 20 7946-0545 A"
+def _scheme(value):
+    s = "".join(c for c in value if c.isalnum())
+    return [x.name for x in SCHEMES if x.fits(s)]
+
+
+@pytest.mark.parametrize(("value", "name"), [("12345678Z", "dni"), ("X1234567L", "nie"), ("123-45-6789", "ssn"), ("AB 12 34 56 C", "nino"), ("4111 1111 1111 1111", "card"), ("DE89 3704 0044 0532 0130 00", "iban"), ("2 55 08 14 168 025 38", "nir")])
+def test_valid_numbers_get_valid_pseudonyms(value, name):
+    new = id_pseudonym(value, KEY)
+    assert name in _scheme(value) and name in _scheme(new) and new != value
+    assert [c.isalnum() for c in new] == [c.isalnum() for c in value]
+    assert id_pseudonym(new, KEY, back=True) == value
+
+
+@given(st.integers(min_value=0, max_value=10**8 - 1))
+def test_check_letters_hold_for_every_number(n):
+    letter = "TRWAGMYFPDXBNJZSQVHLCKE"[n % 23]
+    assert _scheme(id_pseudonym(f"{n:08d}{letter}", KEY)) == ["dni"]
+    wrong = f"{n:08d}{'O'}"  # no check letter
+    assert "dni" not in _scheme(id_pseudonym(wrong, KEY)) and id_pseudonym(id_pseudonym(wrong, KEY), KEY, back=True) == wrong
+
+
+def test_one_phone_in_many_notations():
+    for forms in (["+44 20 7946 0958", "0044 20 7946 0958", "020 7946 0958", "+44 (0)20 7946 0958", "020/79460958"], ["(617) 555-0162", "+1 617 555 0162", "1-617-555-0162", "six one seven, double five five, zero one six two"]):
+        new = [phone_pseudonym(f, KEY) for f in forms]
+        assert len({national(x)[0] for x in new}) == 1 and national(new[0])[0] != national(forms[0])[0]
+        assert [re.sub(r"\d", "9", x) for x in new[:3]] == [re.sub(r"\d", "9", x) for x in forms[:3]]
+        assert phone_pseudonym(new[0], KEY, back=True) == forms[0]
+    assert all(national(phone_pseudonym(f"(617) 555-{i:04d}", KEY))[0][3] in "23456789" for i in range(50))
+
+
+def test_dates_stay_dates():
+    forms = ["1987-03-25", "25/03/1987", "03/25/1987", "25. März 1987", "March 25th, 1987", "25 de marzo de 1987", "25 mars 1987"]
+    assert len({read_date(DATE.fullmatch(date_pseudonym(f, KEY))) for f in forms if "/" not in f}) == 1
+    for f in forms:
+        new = date_pseudonym(f, KEY)
+        assert read_date(DATE.fullmatch(new)) and new != f
+    assert date_pseudonym("1987-02-31", KEY) == "1987-02-31" and date_pseudonym(date_pseudonym("1987-03-25", KEY), KEY, back=True) == "1987-03-25"
+    text = "Born on 25/03/1987; recorded 2019-09-09"
+    assert [(k, text[a:b]) for k, a, b in FINDER.find(text)] == [("date", "25/03/1987")]
+    every = Finder(frozenset(), frozenset(), dates="all").find(text)
+    assert [(k, text[a:b]) for k, a, b in every] == [("date", "25/03/1987"), ("date", "2019-09-09")]
+
+
+@pytest.mark.parametrize("frame", ["yesterday {} came home", "later that day {} waited", "{} came home", "so {}, then", "we met {}", "x y {} z"])
+@pytest.mark.parametrize("name", ["Neirna Fafonarro", "neirna fafonarro", "Fafonarro, Neirna", "N. Fafonarro", "Neirna B. Fafonarro", "Neirna Fafonarro-Field"])
+def test_names_at_every_place(frame, name):
+    text = frame.format(name)
+    assert ("name", name) in [(k, text[a:b]) for k, a, b in FINDER.find(text)]
+
+
+def test_many_hits_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(f"write to u{i}@mail.example now;" for i in range(n))
+        began = time.perf_counter()
+        assert len(FINDER.find(text)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0]
 
 
 CASES = [
@@ -41,7 +101,7 @@ def test_found(text, kind, value):
     assert (kind, value) in [(k, text[a:b]) for k, a, b in FINDER.find(text)]
 
 
-@pytest.mark.parametrize("text", ["thumb@2x.png at 1920x1080", "frame@53.4s", "see @route95", "call sign 97-26-641, channel 5170", "video id 40266845668, batch_00755", "recorded 2019-09-09", "47 Minute Road trip", "Route 69 Lane closed near Skedobury", "crossing the Amber Bridge at", "score 0006 / 666 points", "sha 5fcd1ea35c252319", "episode 6-15-0763", ""])
+@pytest.mark.parametrize("text", ["thumb@2x.png at 1920x1080", "frame@53.4s", "see @route95", "call sign 97-26-641, channel 5170", "video id 40266845668, batch_00755", "recorded 2019-09-09", "47 Minute Road trip", "Route 69 Lane closed near Skedobury", "crossing the Amber Bridge at", "score 0006 / 666 points", "sha 5fcd1ea35c252319", "episode 6-15-0763", "invoice 123 45 6789", "000-00-0000", "4111 1111 1111 1112", ""])
 def test_not_found(text):
     assert FINDER.find(text) == []
 
