@@ -33,31 +33,45 @@ def words(text: str) -> list[str]:
     return _WORD.findall(fold(_TAG.sub(" ", text)))
 
 
+# What stands between the items of a list (words in English, German, French, Spanish).
+_BETWEEN = re.compile(r"\s*(?:[,;&]|(?<!\w)(?:and|und|et|y)(?!\w))\s*")
+
+
 def answer_key(text: str) -> str:
-    """One form for the notations of an answer: numbers, dates, measures, lists; else its folded words."""
+    """One form for the notations of an answer: numbers, dates, measures; else its folded words. The items of a list come
+    in one order."""
     t = fold(text).strip()
     t = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", t)
-    w = re.findall(r"\d+(?:\.\d+)?|[^\W\d_]+|%", t)
+    if m := _date(_tokens(t)):
+        return m
+    items = [x for x in _BETWEEN.split(t) if re.search(r"\w", x)]
+    return " & ".join(sorted(_item(x) for x in items)) if len(items) > 1 else _item(t)
+
+
+def _tokens(t: str) -> list[str]:
+    return re.findall(r"\d+(?:\.\d+)?|[^\W\d_]+|%", t)
+
+
+def _item(t: str) -> str:
+    w = _tokens(t)
     if w and w[0] in ("the", "a", "an") and len(w) > 1:
         w = w[1:]
     out: list[str] = []
     for x in w:
         if x in _NUMBER_WORD:
             n = _NUMBER_WORD[x]
-            if out and n < 10 and out[-1].endswith("0") and out[-1] in _TENS_TEXT:
+            if out and n < 10 and out[-1] in _TENS_TEXT:
                 out[-1] = str(int(out[-1]) + n)
             else:
                 out.append(str(n))
         else:
             out.append(x)
-    if m := _date(out):
-        return m
     if out and re.fullmatch(r"\d+(\.\d+)?", out[0]):
         rest = [MEASURES.get(x, x) for x in out[1:]]
         number = out[0].lstrip("0") or "0"
         # A bare number and one with its measure are notations of the same answer to the same question.
         return number if len(rest) <= 1 and all(x in MEASURES.values() for x in rest) else " ".join([number, *rest])
-    return " ".join(x for x in out if x != "and")
+    return " ".join(out)
 
 
 _TENS_TEXT = {str(10 * i) for i in range(2, 10)}
