@@ -1,10 +1,12 @@
 """Speech transcripts into clean speaker turns.
 
-1. Mining. Every line's heads are tokenised into classes (roster names, titles, initials, numbers, marks) and
-   sorted into a tree of fixed depth: kind of slot, form of the slot, mark before it, mark behind it. The leaves
-   are the layouts, with counts over all texts.
-2. Inference. A number leaf is a timestamp slot if its values agree with the times of the rows they stand in; a
-   name leaf is a speaker slot if marks set the name off, and it has support.
+1. Mining. Wherever marks close something (a colon, a bracket, a dash), the tokens before them are sorted into a tree of fixed
+   depth: kind of slot, marks before it, shape of the slot (one word, two, an initial, a title, a handle, a number; capital or not), marks
+   behind it. Clock forms go into the same tree. The leaves are the layouts; each counts how often it occurs, and with how many
+   different values: a slot varies, a constant such as "note:" does not.
+2. Inference. A number leaf is a timestamp slot if its values agree with the times of the rows they stand in. A
+   name leaf is a speaker slot if names of the roster stand in it. It is an open one if hardly anything else stands in it: then whatever stands
+   there is a label, and the roster only says whose; names it does not know are cut from the speech and count as speaker 0.
 3. Extraction. The accepted layouts become one pattern; what it captures is looked up in the roster, allowing for
    a typo. Sound annotations, markup, timestamps and filler words are cut; speech goes to the last label.
 4. Merge. A turn is a maximal run of speech by one speaker in time order. Segments are ordered by one range
@@ -41,11 +43,13 @@ _CLOCK = re.compile(rf"(?P<o>[<\[({{])\s?(?P<v>{_TIME}|\d{{1,6}}(?:\.\d+)?\s?s)\
 # Titles before a family name, filler words.
 _TITLE = r"(?:dr|prof|mr|mrs|ms|miss|sir)"
 FILLERS = re.compile(r"(?<![\w-])(?:uh+(?:-huh)?|u+m+|uhm+|er+m*|h+m+|mm+(?:-?hmm*)?|mhm+|ah+|eh+)(?![\w-])", re.I)
-ANNOTATION = re.compile(r"♪[^♪]{0,120}♪|[♪♫♬]+|\[[^\[\]]{0,80}\]|\({1,2}[^()]{0,80}\){1,2}|\{[^{}]{0,80}\}|(?<!\w)\*[^*\n]{1,60}\*(?!\w)|<[^<>\n]{1,80}>")
+ANNOTATION = re.compile(r"♪[^♪]*♪|[♪♫♬]+|\[[^\[\]]*\]|\({1,2}[^()]*\){1,2}|\{[^{}]*\}|(?<!\w)\*[^*\n]+\*(?!\w)|<[^<>\n]+>")
+#: Closing tags: no slot begins with their mark.
+_END_TAG = re.compile(r"</[a-z]+>", re.I)
 CUE = re.compile(r"^\s*((?:\d+:)?\d+:\d\d[.,]\d+)\s*-->\s*((?:\d+:)?\d+:\d\d[.,]\d+)[^\n]*$", re.M)
 
-_FORMS = {  # regular expression of each slot form
-    "pair": rf"{_W}\s{_W}", "one": _W, "initial": rf"[^\W\d_]\.\s?{_W}", "title": rf"{_TITLE}\.?\s{_W}", "handle": _W, "number": r"speaker[\s_#]*\d+",
+_FORMS = {  # regular expression of each slot form, the longer ones first
+    "number": r"speaker[\s_#]*\d+", "title": rf"{_TITLE}\.?\s{_W}", "initial": rf"[^\W\d_]\.\s?{_W}", "pair": rf"{_W}\s{_W}", "handle": rf"(?<=@){_W}", "one": _W,
 }
 
 
@@ -70,6 +74,17 @@ class Roster:
         self.handle = {g[:1] + f: i for i, g, f in reversed(self.people) if g and f}
         self.seen: dict[tuple[str, str], int | None] = {}
 
+    def knows(self, form: str, slot: str) -> bool:
+        """Whether a slot of this form names somebody, letter for letter."""
+        w = re.findall(_W, fold(slot))
+        if form == "number":
+            return True
+        if form == "pair":
+            return (w[0], w[1]) in self.full or (w[1], w[0]) in self.full
+        if form == "handle":
+            return w[0] in self.handle
+        return w[-1] in self.family or (form == "one" and w[-1] in self.given)
+
     def look_up(self, form: str, slot: str) -> int | None:
         key = (form, slot)
         if key not in self.seen:
@@ -108,94 +123,110 @@ class Roster:
 
 
 # --- Mining --------------------------------------------------------------------------------------------------
-def heads(text: str, times: tuple[float, float] | None, roster: Roster) -> list[tuple[tuple[str, str, str, str], int, int]]:
-    """Leaves (kind, form, before, behind) that the text falls into, with two counts: known and agreeing."""
+#: Marks that close a slot, and the slots that can stand before them, by shape.
+_CLOSE = re.compile(r"(?<=[^\W_])\s*[:：\])}>|~»«]+|(?<=[^\W_])\s+[-–—]+(?=\s)")
+_SHAPES = {form: re.compile(rf"(?<![\w{'' if form == 'handle' else '@'}])(?:{pattern})$", re.I) for form, pattern in _FORMS.items()}
+_ANCHORED = re.compile(rf"(?:^|[\n\r]|(?<=[<>\[({{@#|~»«\-–—]))\s*({_W}(?:\s{_W})?)$")
+
+
+def _shape(slot: str) -> str:
+    """capital, if every word of the slot begins with a capital; else small."""
+    return "capital" if all(w[0].isupper() for w in re.findall(_W, slot)) else "small"
+
+
+def heads(text: str, times: tuple[float, float] | None, roster: Roster) -> list[tuple[tuple[str, str, str, str, str], str, int, int]]:
+    """Leaves (kind, before, form, case, behind) that the text falls into, with the slot's value and two counts: known and agreeing."""
     out = []
-    plain = text
+    text = plain = _END_TAG.sub(lambda m: " " * len(m.group()), text)
     for m in _CLOCK.finditer(text):
         if m["b"] and m.start() and text[m.start() - 1] not in "\n\r":
             continue
         value = m["v"] or m["b"]
         known = times is not None
         agree = known and times[0] - 2 <= seconds(value) <= times[1] + 2
-        out.append((("time", re.sub(r"\d+", "9", value), m["o"] or "", m["c"] or ""), int(known), int(agree)))
+        out.append((("time", m["o"] or "", re.sub(r"\d+", "9", value), "", m["c"] or ""), value, int(known), int(agree)))
         # A boundary stands in for it, so that marks of a time are not taken for marks of a name.
         plain = plain[: m.start()] + "\n" * (m.end() - m.start()) + plain[m.end() :]
-    for m in re.finditer(rf"speaker[\s_#]*\d+|{_W}", plain, re.I):
-        w = fold(m.group())
-        a, b = m.span()
-        if "speaker" in w and w[-1].isdigit():
-            form = "number"
-        elif w in roster.handle and a and plain[a - 1] == "@":
-            form = "handle"
-        elif w in roster.family:
-            left = plain[max(0, a - 24) : a]
-            if (t := re.search(rf"({_W})\s$", left)) and fold(t[1]) in roster.given:
-                form, a = "pair", a - len(t[0])
-            elif t := re.search(r"(?<!\w)[^\W\d_]\.\s?$", left):
-                form, a = "initial", a - len(t[0])
-            elif t := re.search(rf"(?<!\w){_TITLE}\.?\s$", left, re.I):
-                form, a = "title", a - len(t[0])
-            else:
-                form = "one"
-        elif w in roster.given:
-            right = re.match(rf"\s({_W})", plain[b:])
-            if right and fold(right[1]) in roster.family:
-                continue  # counted at the family name
-            form = "one"
-        else:
+    for m in _CLOSE.finditer(plain):
+        low = max(0, m.start() - 64)
+        left = plain[low : m.start()]
+        found = None
+        for form, pattern in _SHAPES.items():
+            if (t := pattern.search(left)) and roster.knows(form, t.group()):
+                found = form, t
+                break
+        known = found is not None
+        if not known and (t := _ANCHORED.search(left)):  # a slot of another name, or none
+            left = left[: t.start(1)] + t.group(1)
+            t = re.compile(r"\S+(?:\s\S+)?$").search(left, t.start(1))
+            found = ("pair" if len(t.group().split()) == 2 else "one"), t
+        if found is None:
             continue
-        before, behind = _BEFORE.search(plain[max(0, a - 8) : a]), _BEHIND.match(plain, b)
-        out.append((("name", form, before[0].strip() if before else "", behind[0].strip() if behind else ""), 1, 1))
+        form, t = found
+        before = _BEFORE.search(left[: t.start()])
+        out.append((("name", before[0].strip() if before else "", form, _shape(t.group()), m.group().strip()), fold(t.group()), int(known), int(known)))
     return out
 
 
-LEAF = "kind string, form string, before string, behind string, n bigint, known bigint, agree bigint"
+LEAF = "kind string, before string, form string, shape string, behind string, value string, n bigint, known bigint, agree bigint"
+_KEYS = ["kind", "before", "form", "shape", "behind"]
 
 
 def mine(lines: DataFrame, roster: Roster) -> DataFrame:
-    """Layout counts of lines (body, start_s, end_s)."""
+    """The leaves over all lines (body, start_s, end_s): n, values (how many different ones), named (how many of those the roster knows), known, agree."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         known: Counter = Counter()
         agree: Counter = Counter()
+        total = 0
         for f in frames:
+            total += len(f)
             for body, a, b in zip(f["body"], f["start_s"], f["end_s"]):
                 times = None if a != a or a is None else (a, max(a, b) if b == b and b is not None else a + 10)
-                for leaf, k, g in heads(body, times, roster):
-                    n[leaf] += 1
-                    known[leaf] += k
-                    agree[leaf] += g
-        yield pd.DataFrame([(*leaf, c, known[leaf], agree[leaf]) for leaf, c in n.items()], columns=["kind", "form", "before", "behind", "n", "known", "agree"])
-
-    keys = ["kind", "form", "before", "behind"]
-    return lines.mapInPandas(count, LEAF).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("agree").alias("agree"))
-
-
-def infer(leaves: DataFrame, least: int = 5, share: float = 0.5) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
-    """Accepted name and time layouts (form, before, behind). Leaves below ``least`` never reach the driver, and
-    the tokens of a leaf are short runs of marks, so this collects at most a few hundred rows."""
-    rows = leaves.where(F.col("n") >= least).collect()
-    names = [(r["form"], r["before"], r["behind"]) for r in rows if r["kind"] == "name" and r["behind"]]
-    clocks = [(r["form"], r["before"], r["behind"]) for r in rows if r["kind"] == "time" and r["known"] and r["agree"] >= share * r["known"]]
-    return sorted(names), sorted(clocks)
+                for leaf, value, k, g in heads(body, times, roster):
+                    key = (*leaf, "" if leaf[0] == "time" else value)
+                    n[key] += 1
+                    known[key] += k
+                    agree[key] += g
+        rows = [(*key, c, known[key], agree[key]) for key, c in n.items()]
+        yield pd.DataFrame([*rows, ("", "", "", "", "", "", total, 0, 0)], columns=[*_KEYS, "value", "n", "known", "agree"])
+
+    by_value = lines.mapInPandas(count, LEAF).groupBy(*_KEYS, "value").agg(*[F.sum(c).alias(c) for c in ("n", "known", "agree")])
+    return by_value.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.count_if(F.col("known") > 0).alias("named"), F.sum("known").alias("known"), F.sum("agree").alias("agree"))
+
+
+def infer(leaves: DataFrame, least: float = 1e-4, share: float = 0.5, open_share: float = 0.9) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]], frozenset[tuple[str, str, str, str]]]:
+    """Name and time layouts (form, before, behind), and the open ones of the name layouts (form, shape, before, behind).
+
+    A leaf needs ``least`` occurrences for each line, so a layout counts alike in a corpus of any size. Only leaves that can be
+    accepted reach the driver; their marks are short runs, so these are at most a few hundred.
+    """
+    total = leaves.where("kind = ''").agg(F.sum("n")).collect()[0][0] or 0
+    name = (F.col("kind") == "name") & (F.col("behind") != "") & (F.col("known") > 0)
+    rows = leaves.where(((F.col("kind") == "time") & (F.col("known") > 0) | name) & (F.col("n") >= least * total)).collect()
+    names = {(r["form"], r["before"], r["behind"]) for r in rows if r["kind"] == "name"}
+    clocks = {(r["form"], r["before"], r["behind"]) for r in rows if r["kind"] == "time" and r["agree"] >= share * r["known"]}
+    # A slot varies: three values at least stand in it. Its values count once, so that many lines of one stray word open nothing.
+    open_ = {(r["form"], r["shape"], r["before"], r["behind"]) for r in rows if r["kind"] == "name" and r["values"] >= 3 and r["known"] >= open_share * r["n"] and r["named"] >= open_share * r["values"]}
+    return sorted(names), sorted(clocks), frozenset(open_)
 
 
 # --- Extraction ----------------------------------------------------------------------------------------------
 class Extractor:
     """Runs of speech of a text, by the mined layouts."""
 
-    def __init__(self, names: list[tuple[str, str, str]], clocks: list[tuple[str, str, str]], roster: Roster):
-        self.roster = roster
+    def __init__(self, names: list[tuple[str, str, str]], clocks: list[tuple[str, str, str]], open_: frozenset[tuple[str, str, str, str]], roster: Roster):
+        self.roster, self.open = roster, open_
         self.clocks = frozenset(clocks)
         order = {"pair": 0, "initial": 1, "title": 2, "number": 3, "handle": 4, "one": 5}
-        self.forms, parts = [], []
+        self.forms, self.marks, parts = [], [], []
         for i, (form, before, behind) in enumerate(sorted(names, key=lambda x: (order[x[0]], -len(x[1]) - len(x[2]), x))):
             opener = re.escape(before) + (r"\s+" if re.fullmatch(r"<[a-z]", before) else r"\s*") if before else r"(?<![\w@])"
             closer = rf"\s+{re.escape(behind)}(?=\s)" if re.fullmatch(r"[-–—]+", behind) else rf"\s*{re.escape(behind)}"
             parts.append(rf"(?P<s{i}>{opener}(?P<n{i}>{_FORMS[form]}){closer})")
             self.forms.append(form)
+            self.marks.append((before, behind))
         self.label = re.compile("|".join(parts), re.I) if parts else None
 
     def labels(self, text: str) -> list[tuple[int, int, int]]:
@@ -206,6 +237,8 @@ class Extractor:
             who = self.roster.look_up(self.forms[i], m[f"n{i}"])
             if who is None:  # another layout may fit here
                 who, m2 = self._others(text, m.start())
+                if who is None and (m2 := self._unlisted(text, m.start())):
+                    who = 0
                 if who is None:
                     at = m.start() + 1
                     # Skip on to the next word: no layout can start inside one.
@@ -226,6 +259,13 @@ class Extractor:
                 return who, m.end()
         return None, start
 
+    def _unlisted(self, text: str, start: int) -> int:
+        """End of a label of nobody in the roster at ``start``: an open layout, at the head of a line or behind a mark; 0: none."""
+        for (form, pattern), (before, behind) in zip(self._single(), self.marks):
+            if (m := pattern.match(text, start)) and (form, _shape(m["n"]), before, behind) in self.open and (before or not text[:start].rstrip(" \t") or text[:start].rstrip(" \t")[-1] in "\n\r"):
+                return m.end()
+        return 0
+
     def _single(self) -> list[tuple[str, re.Pattern]]:
         if not hasattr(self, "_one"):
             parts = self.label.pattern.split("|(?P<s") if self.label else []
@@ -253,7 +293,7 @@ class Extractor:
 
     def runs(self, text: str) -> list[tuple[int | None, str]]:
         """(label or None to go on with the last one, speech; empty if there is none), in order."""
-        text = self.without_times(text)
+        text = self.without_times(_END_TAG.sub(lambda m: " " * len(m.group()), text))
         out, at, who = [], 0, None
         for a, b, i in self.labels(text):
             if at or a:
@@ -303,11 +343,11 @@ def subtitle_lines(videos: DataFrame) -> DataFrame:
     return videos.where(F.col("subtitle").isNotNull() & (F.trim("subtitle") != "")).select(F.col("video_idx").cast("bigint").alias("video_idx"), F.col("subtitle").alias("body"))
 
 
-def layouts(segments: DataFrame, subtitles: DataFrame, roster: Roster) -> tuple[list, list]:
+def layouts(segments: DataFrame, subtitles: DataFrame, roster: Roster) -> tuple[list, list, frozenset]:
     """Accepted layouts over all segments and subtitles."""
     none = F.lit(None).cast("double")
     lines = segments.select("body", "start_s", "end_s").unionByName(subtitles.select("body", none.alias("start_s"), none.alias("end_s")))
-    return infer(mine(lines.repartition(parallelism(segments.sparkSession)), roster))
+    return infer(written(mine(lines.repartition(parallelism(segments.sparkSession)), roster)))
 
 
 LINE = "video_id string, start_s double, end_s double, seg_id bigint, run_no int, label int, speech string"

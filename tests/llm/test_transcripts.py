@@ -57,5 +57,43 @@ def test_parts(spark):
     assert roster_of(spark.createDataFrame([(1, "A", "B"), (None, "C", "D")], "speaker_id int, given_name string, family_name string")).ids == {1}
     empty = prepared_segments(spark.createDataFrame([], SEG))
     none = subtitle_lines(spark.createDataFrame([], "video_idx bigint, subtitle string"))
-    assert layouts(empty, none, Roster(PEOPLE)) == ([], [])
-    assert Extractor([], [], Roster(PEOPLE)).runs("text") == [(None, "text")]
+    assert layouts(empty, none, Roster(PEOPLE)) == ([], [], frozenset())
+    assert Extractor([], [], frozenset(), Roster(PEOPLE)).runs("text") == [(None, "text")]
+
+
+def _corpus(spark, times=1):
+    names = [f"{a} {b}" for a, b in (("Skubin", "Handinwick"), ("Zounden", "Zibyaette"), ("Neda", "Zeminmond"))]
+    rows = []
+    for k in range(60 * times):
+        rows.append((k, f"v{k}", 0.0, 9.0, f"{names[k % 3]}: the kettle turns", None, None, None))
+    rows += [(10000 + k, f"w{k}", 0.0, 9.0, f"the magnet{'s' * (k % 7)}: it turns", None, None, None) for k in range(20 * times)]
+    rows += [(20000 + k, f"x{k}", 0.0, 9.0, f"{names[k % 3].lower()}: low", None, None, None) for k in range(20 * times)]
+    rows += [(30000, "u", 0.0, 9.0, "Jonas Weber: hello there", None, None, None), (30001, "u", 1.0, 9.0, "still he", None, None, None), (30002, "u", 2.0, 9.0, "Neda Zeminmond: yes", None, None, None)]
+    return prepared_segments(spark.createDataFrame(rows, SEG))
+
+
+def test_labels_of_people_outside_the_roster(spark):
+    """Two capital words before a colon are names almost always: an open layout. Two small ones are speech as often as not."""
+    roster = Roster(PEOPLE)
+    found = infer(mine(_corpus(spark), roster))
+    assert ("pair", "capital", "", ":") in found[2] and ("pair", "small", "", ":") not in found[2]
+    x = Extractor(*found, roster)
+    assert x.runs("Jonas Weber: hello there") == [(0, "hello there")]
+    assert x.runs("the magnet: it turns") == [(None, "the magnet: it turns")]
+    assert x.runs("neda zeminmond: low") == [(3, "low")]
+    assert x.runs("we saw Jonas Weber: there") == [(None, "we saw Jonas Weber: there")]  # not at the head of a line
+    got = [(r["seg_id"], r["speaker_id"]) for r in segment_lines(_corpus(spark).where("video_id = 'u'"), x).where("opens").orderBy("seg_id").collect()]
+    assert got == [(30000, 0), (30002, 3)]
+
+
+def test_layouts_do_not_hang_on_the_size_of_the_corpus(spark):
+    roster = Roster(PEOPLE)
+    assert infer(mine(_corpus(spark), roster)) == infer(mine(_corpus(spark, 8), roster))
+
+
+def test_annotations_of_any_length(spark):
+    x, _ = _extractor(spark)
+    long = "a door slams and " * 40
+    for text in (f"[{long}]", f"(({long}))", f"♪ {long} ♪", f"*{long}*", f"{{{long}}}"):
+        assert x.runs(f"Skubin Handinwick: {text} the kettle turns")[-1] == (1, "the kettle turns")
+    assert x.runs("<v Skubin Handinwick>the kettle</v> turns")[-1] == (1, "the kettle turns")
