@@ -61,20 +61,23 @@ def test_parts(spark):
     assert Extractor([], [], frozenset(), Roster(PEOPLE)).runs("text") == [(None, "text")]
 
 
+MANY = [*PEOPLE, *((10 + i, f"{a}{b}en", f"{b}o{a}mond") for i, (a, b) in enumerate((x, y) for x in ("Bal", "Dor", "Fen") for y in ("Gul", "Har", "Kis", "Lom")))]
+
+
 def _corpus(spark, times=1):
-    names = [f"{a} {b}" for a, b in (("Skubin", "Handinwick"), ("Zounden", "Zibyaette"), ("Neda", "Zeminmond"))]
+    names = [f"{a} {b}" for _, a, b in MANY]
     rows = []
     for k in range(60 * times):
-        rows.append((k, f"v{k}", 0.0, 9.0, f"{names[k % 3]}: the kettle turns", None, None, None))
+        rows.append((k, f"v{k}", 0.0, 9.0, f"{names[k % 15]}: the kettle turns", None, None, None))
     rows += [(10000 + k, f"w{k}", 0.0, 9.0, f"the magnet{'s' * (k % 7)}: it turns", None, None, None) for k in range(20 * times)]
-    rows += [(20000 + k, f"x{k}", 0.0, 9.0, f"{names[k % 3].lower()}: low", None, None, None) for k in range(20 * times)]
+    rows += [(20000 + k, f"x{k}", 0.0, 9.0, f"{names[k % 15].lower()}: low", None, None, None) for k in range(20 * times)]
     rows += [(30000, "u", 0.0, 9.0, "Jonas Weber: hello there", None, None, None), (30001, "u", 1.0, 9.0, "still he", None, None, None), (30002, "u", 2.0, 9.0, "Neda Zeminmond: yes", None, None, None)]
     return prepared_segments(spark.createDataFrame(rows, SEG))
 
 
 def test_labels_of_people_outside_the_roster(spark):
     """Two capital words before a colon are names almost always: an open layout. Two small ones are speech as often as not."""
-    roster = Roster(PEOPLE)
+    roster = Roster(MANY)
     found = infer(mine(_corpus(spark), roster))
     assert ("pair", "capital", "", ":") in found[2] and ("pair", "small", "", ":") not in found[2]
     x = Extractor(*found, roster)
@@ -87,7 +90,7 @@ def test_labels_of_people_outside_the_roster(spark):
 
 
 def test_layouts_do_not_hang_on_the_size_of_the_corpus(spark):
-    roster = Roster(PEOPLE)
+    roster = Roster(MANY)
     assert infer(mine(_corpus(spark), roster)) == infer(mine(_corpus(spark, 8), roster))
 
 
