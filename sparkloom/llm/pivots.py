@@ -2,10 +2,12 @@
 
 Every unit vector is represented by its ``l`` nearest pivots in order. It is posted in the inverted files of
 its ``post`` nearest pivots and looked up in those of its ``probe`` nearest ones. Entries of a file are ranked
-by the footrule distance of the pivot orders, the best ``keep`` are reranked by the exact cosine.
+by the footrule distance of the pivot orders, and the best ``keep`` of them (a share of the file, alike for short and long files)
+are reranked by the exact cosine.
 
-Pivots are a sample of the vectors (bounded by MAX_PIVOTS); every vector is indexed. Their number grows with
-the square root of the collection, so a file holds about ``post * sqrt(n)`` entries. Nearby pivots form groups
+Pivots are a sample of the vectors; every vector is indexed. Their number grows with
+the square root of the collection, so a file holds about ``post * sqrt(n)`` entries; the pivots (32,768 of them, 8 MB, for a billion
+vectors) are sent to the tasks. Nearby pivots form groups
 of GROUP; a vector is sent once to each group it is posted or looked up in. A group of more than HOT vectors is cut into
 slices that meet pairwise, so no task holds an unbounded group and nothing is left out.
 
@@ -30,18 +32,22 @@ from pyspark.sql import functions as F
 from sparkloom.common import parallelism, written
 from sparkloom.functions.vectors import unit_vectors
 
-MIN_PIVOTS, MAX_PIVOTS, GROUP = 16, 4096, 8
+MIN_PIVOTS, GROUP = 16, 8
 #: Entries of a file looked up at a time.
-BLOCK = 32768
+BLOCK = 8192
 #: Vectors of a group in one task; a larger group is cut into slices, each slice of it looked up in each other.
 HOT = 131072
 
 
 def nearest_order(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest ``length`` pivots of each row, in order."""
-    d = x @ pivots.T
-    o = np.argpartition(-d, length - 1, axis=1)[:, :length]
-    return np.take_along_axis(o, np.argsort(-np.take_along_axis(d, o, 1), axis=1, kind="stable"), 1)
+    out = np.empty((len(x), length), np.int64)
+    step = max(1, (1 << 23) // len(pivots))
+    for a in range(0, len(x), step):
+        d = x[a : a + step] @ pivots.T
+        o = np.argpartition(-d, length - 1, axis=1)[:, :length]
+        out[a : a + step] = np.take_along_axis(o, np.argsort(-np.take_along_axis(d, o, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def group_pivots(pivots: np.ndarray, size: int = GROUP) -> np.ndarray:
@@ -59,40 +65,35 @@ def group_pivots(pivots: np.ndarray, size: int = GROUP) -> np.ndarray:
     return out
 
 
-def search_file(order: np.ndarray, pivots: int, x: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query row its best ``k`` member rows of one inverted file and their cosines (-2: none).
+def search_file(order: np.ndarray, x: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int, keep: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each query row its best ``k`` member rows of one inverted file and their cosines (-2: none); the share ``keep`` of the
+    members with the least footrule distance is reranked.
 
     The footrule distance of two truncated orders is a constant less twice the sum of the smaller of the two
-    position weights, so the largest such sum is the smallest distance. The sums stay below 256 (uint8).
+    position weights, so the largest such sum is the smallest distance.
     """
     length, n, mx = order.shape[1], len(members), x[members]
-    w = np.zeros((pivots, n), np.uint8)
-    if n > keep:
-        w[order[members].T, np.arange(n)[None, :]] = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
-    mine = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
-    k_ = min(k + 1, n)
+    kept = min(n, max(k + 1, math.ceil(keep * n)))
+    mine = np.arange(length, 0, -1, dtype=np.uint8)
+    # Weights of the members by pivot; a row of zeros stands for the pivots that no member has near.
+    near, at = np.unique(order[members], return_inverse=True)
+    w = np.zeros((len(near) + 1, n), np.uint8)
+    w[at.reshape(n, length).T, np.arange(n)[None, :]] = mine[:, None]
+    asked = np.searchsorted(near, order[queries])
+    asked[near[np.minimum(asked, len(near) - 1)] != order[queries]] = len(near)
     best, cos = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2, np.float32)
-    for a in range(0, len(queries), 256):
-        part = queries[a : a + 256]
-        if n <= keep:
-            sims = x[part] @ mx.T
-            picks = [None] * len(part)
-        else:
-            picks = []
-            for q in part:
-                near = np.minimum(w[order[q]], mine).sum(0, dtype=np.uint8)
-                picks.append(np.argpartition(near, n - keep)[n - keep :])
-        for j, (q, c) in enumerate(zip(part, picks)):
-            s = sims[j] if c is None else mx[c] @ x[q]
-            rows = members if c is None else members[c]
-            s = np.where(rows == q, np.float32(-2), s)
-            top = np.argpartition(s, len(s) - k_)[len(s) - k_ :] if len(s) > k_ else np.arange(len(s))
-            top = top[s[top] > -2][np.argsort(-s[top][s[top] > -2], kind="stable")][:k]
-            best[a + j, : len(top)], cos[a + j, : len(top)] = rows[top], s[top]
+    for j, q in enumerate(queries):
+        sums = np.minimum(w[asked[j]], mine[:, None]).sum(0, dtype=np.uint16)
+        c = np.argpartition(sums, n - kept)[n - kept :] if kept < n else np.arange(n)
+        rows = members[c]
+        s = np.where(rows == q, np.float32(-2), mx[c] @ x[q])
+        top = np.argpartition(s, len(s) - k)[len(s) - k :] if len(s) > k else np.arange(len(s))
+        top = top[s[top] > -2][np.argsort(-s[top][s[top] > -2], kind="stable")][:k]
+        best[j, : len(top)], cos[j, : len(top)] = rows[top], s[top]
     return best, cos
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, post: int = 3, probe: int = 8, length: int = 20, keep: int = 768) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, post: int = 3, probe: int = 8, length: int = 32, keep: float = 0.4) -> DataFrame:
     """The ``k`` most similar other vectors of each: id, neighbour, cosine (double), rank (1..k)."""
     spark = df.sparkSession
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
@@ -112,14 +113,15 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
         src = src.join(copies.select("id"), "id", "left_anti")
 
     n = src.count()
-    m = min(MAX_PIVOTS, max(MIN_PIVOTS, 2 ** round(math.log2(max(1.0, math.sqrt(n))))))
-    sample = src.orderBy(F.xxhash64("id"), "id").limit(2 * m).toArrow()  # bounded by 2 * MAX_PIVOTS vectors
+    m = max(MIN_PIVOTS, 2 ** round(math.log2(max(1.0, math.sqrt(n)))))
+    sample = src.orderBy(F.xxhash64("id"), "id").limit(2 * m).toArrow()  # 2 * sqrt(n) vectors, or a little more
     pivots = unit_vectors(sample["v"], dim)[1][:m]
     if len(pivots) == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, cosine double, rank int")
     m, length = len(pivots), min(length, len(pivots))
     post, probe = min(post, m), min(probe, m)
     group_of = group_pivots(pivots)
+    code = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(int(group_of.max()) + 1, np.int64)
@@ -132,7 +134,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
                 total += np.bincount(at[new], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["grp", "n"])
 
-    # One row per group (at most MAX_PIVOTS / GROUP * 2 of them).
+    # One row per group of pivots.
     sizes = {r["grp"]: r["n"] for r in src.mapInArrow(count, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
     slices = np.array([max(1, -(-sizes.get(g, 0) // HOT)) for g in range(int(group_of.max()) + 1)], np.int64)
 
@@ -142,7 +144,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
             if not len(x):
                 continue
             ids = b.column("id").to_numpy()[ok]
-            o = nearest_order(x, pivots, length).astype(np.uint16)
+            o = nearest_order(x, pivots, length).astype(code)
             at = group_of[o[:, :probe]]
             at.sort(axis=1)
             new = np.ones(at.shape, bool)
@@ -163,7 +165,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
                 [
                     pa.array(grp, pa.int32()), pa.array(entry, pa.int32()), pa.array(query, pa.int32()), pa.array(own, pa.int32()), pa.array(ids[row], pa.int64()),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.tobytes())]).take(take).cast(pa.binary()),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(x), [None, pa.py_buffer(o.tobytes())]).take(take).cast(pa.binary()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.itemsize * length), len(x), [None, pa.py_buffer(o.tobytes())]).take(take).cast(pa.binary()),
                 ],
                 names=["grp", "entry", "query", "own", "id", "x", "o"],
             )
@@ -174,7 +176,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
         grp, entry, query = (t[c][0].as_py() for c in ("grp", "entry", "query"))
         ids, own = t["id"].to_numpy(), t["own"].to_numpy()
         x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float32).reshape(-1, dim)
-        o = np.frombuffer(b"".join(t["o"].to_pylist()), np.uint16).reshape(-1, length).astype(np.int64)
+        o = np.frombuffer(b"".join(t["o"].to_pylist()), code).reshape(-1, length).astype(np.int64)
         best = np.full((len(ids), 0), -1, np.int64)
         cos = np.full((len(ids), 0), -2, np.float32)
         for p in np.flatnonzero(group_of == grp):
@@ -182,7 +184,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, po
             if not len(queries):
                 continue
             for a in range(0, len(members), BLOCK):
-                r, c = search_file(o, m, x, members[a : a + BLOCK], queries, k, keep)
+                r, c = search_file(o, x, members[a : a + BLOCK], queries, k, keep)
                 full_r, full_c = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -2, np.float32)
                 full_r[queries], full_c[queries] = r, c
                 best, cos = np.concatenate([best, full_r], 1), np.concatenate([cos, full_c], 1)
