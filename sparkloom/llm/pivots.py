@@ -93,7 +93,7 @@ def search_file(order: np.ndarray, x: np.ndarray, members: np.ndarray, queries:
     return best, cos
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, post: int = 3, probe: int = 8, length: int = 32, keep: float = 0.4) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, post: int = 3, probe: int = 8, length: int = 32, keep: float = 0.5) -> DataFrame:
     """The ``k`` most similar other vectors of each: id, neighbour, cosine (double), rank (1..k)."""
     spark = df.sparkSession
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
