@@ -104,9 +104,10 @@ class Space:
 
 def frequencies(docs: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     """In how many of all documents each word of the vocabulary occurs, and the number of documents."""
-    ids, size = space.ids, len(space.ids)
+    size, sent = len(space.ids), docs.sparkSession.sparkContext.broadcast(space.ids)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = sent.value
         total, n = np.zeros(size, np.int64), 0
         for f in frames:
             for body in f["body"]:
@@ -217,7 +218,12 @@ def _leaks_of(src: DataFrame, items: list, run: int, near: float, share: float,
         for g in held:
             grams.setdefault(g, []).append(n)
 
+    # Sent once to each executor, not with each task.
+    sent = spark.sparkContext.broadcast((space, table, e, item_of, grams))
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space, table, e, item_of, grams = sent.value
+        items = space.items
         for f in frames:
             keys, bodies = f["doc_id"].tolist(), f["body"].tolist()
             found = []

@@ -51,6 +51,25 @@ def test_runs_of_common_words_between_other_items(spark):
     assert got == {(d, 0) for d in range(1, 6)}
 
 
+def test_runs_alone_in_documents_and_inside_other_items(spark):
+    """Runs of 15, 20 and 30 words in three surroundings: every cell is found whole."""
+    rng, common, items = _world(40, 3)
+    docs, want, d = [], set(), 0
+    for n in (15, 20, 30):
+        for place in ("alone", "document", "item"):
+            for _ in range(30):
+                k, at = rng.randrange(40), rng.randint(0, 60 - n)
+                other = items[(k + 1 + rng.randrange(38)) % 40]
+                pad = {"alone": [], "document": [rng.choice(common) for _ in range(80)], "item": other[:14]}[place]
+                tail = other[30:44] if place == "item" else pad
+                docs.append((d, " ".join([*pad, "stop", *items[k][at : at + n], "stop", *tail]), None, None))
+                want.add((d, k))
+                d += 1
+    rows = [(k, " ".join(w), None, "x") for k, w in enumerate(items)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame(rows, ITEM)).where("kind = 'verbatim'").collect()}
+    assert got == want
+
+
 def test_paraphrase_needs_order_and_answer(spark):
     _, _, items = _world()
     item = items[0][:30]
