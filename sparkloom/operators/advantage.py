@@ -9,8 +9,9 @@ group of its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,44 +123,84 @@ def last_of_session(df: DataFrame, order: str, estimator: str = "grpo") -> DataF
     return df.join(adv, ["uid", "session"])
 
 
+def _backwards(df: DataFrame, out: str, start: tuple[float, ...], step: Callable[..., tuple[float, tuple[float, ...]]], columns: list[str]) -> DataFrame:
+    """Adds ``out`` by a scan from the last token of each sequence (seq, pos) to the first: ``step(state, *columns)`` gives a token's value and
+    the next state. One shuffle by sequence; the tokens stream through the task, so a sequence of any length takes linear time and no memory."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, {out} double"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, start
+        for b in batches:
+            values = []
+            for seq, *x in zip(b.column("seq").to_pylist(), *(b.column(c).to_pylist() for c in columns)):
+                if seq != now:
+                    now, state = seq, start
+                v, state = step(state, *x)
+                values.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], names=[*b.schema.names, out])
+
+    return df.repartition("seq").sortWithinPartitions("seq", F.col("pos").desc()).mapInArrow(scan, schema)
+
+
 def discounted_returns(df: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Per sequence (seq, pos, reward, mask) the return at each token: r + gamma * next, reset where mask is 0."""
     if gamma == 1.0:
         w = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
         return df.withColumn("return", F.sum("reward").over(w))
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("pos")).alias("p"), "reward", "mask")))
-    fold = F.aggregate(
-        "rows",
-        F.struct(F.lit(0.0).alias("run"), F.array().cast("array<struct<pos:int,ret:double>>").alias("out")),
-        lambda acc, x: F.struct(
-            ((x["reward"] + gamma * acc["run"]) * x["mask"]).alias("run"),
-            F.concat(acc["out"], F.array(F.struct((-x["p"]).cast("int").alias("pos"), (x["reward"] + gamma * acc["run"]).alias("ret")))).alias("out"),
-        ),
-    )
-    out = df.groupBy("seq").agg(rows.alias("rows")).select("seq", F.inline(fold["out"]))
-    return df.join(out.select("seq", "pos", F.col("ret").alias("return")), ["seq", "pos"])
+
+    def step(state: tuple[float, ...], reward: float, mask: int) -> tuple[float, tuple[float, ...]]:
+        value = reward + gamma * state[0]
+        return value, (value * mask,)
+
+    return _backwards(df, "return", (0.0,), step, ["reward", "mask"])
 
 
 def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
     """Generalised advantages per token (seq, pos, reward, val, mask): masked tokens are skipped in the recursion."""
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("pos")).alias("p"), "reward", "val", "mask")))
-    kind = "array<struct<pos:int,gae:double>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        delta = x["reward"] + gamma * acc["next"] - x["val"]
-        run = delta + gamma * lam * acc["run"]
-        on = x["mask"] == 1
-        return F.struct(
-            F.when(on, run).otherwise(acc["run"]).alias("run"),
-            F.when(on, x["val"]).otherwise(acc["next"]).alias("next"),
-            F.concat(acc["out"], F.array(F.struct((-x["p"]).cast("int").alias("pos"), F.when(on, run).otherwise(acc["run"]).alias("gae")))).alias("out"),
-        )
+    def step(state: tuple[float, ...], reward: float, val: float, mask: int) -> tuple[float, tuple[float, ...]]:
+        run, following = state
+        if mask != 1:
+            return run, state
+        run = reward + gamma * following - val + gamma * lam * run
+        return run, (run, val)
+
+    return _backwards(df, "gae", (0.0, 0.0), step, ["reward", "val", "mask"]).withColumn("return", F.col("gae") + F.col("val"))
+
 
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("next"), F.array().cast(kind).alias("out"))
-    out = df.groupBy("seq").agg(rows.alias("rows")).select("seq", F.inline(F.aggregate("rows", start, step)["out"]))
-    return df.join(out, ["seq", "pos"]).withColumn("return", F.col("gae") + F.col("val"))
+@register("gae")
+def gae_advantage(df: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """``gae``, whitened over the tokens that count."""
+    out = gae(df, gamma, lam)
+    return whiten(out.withColumn("advantage", F.col("gae")), "advantage", "mask").withColumn("advantage", F.col("advantage") * F.col("mask"))
 
 
+@register("reinforce_plus_plus")
+def reinforce_plus_plus(df: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """Discounted returns per token, whitened over the tokens that count."""
+    out = discounted_returns(df, gamma)
+    return whiten(out.withColumn("advantage", F.col("return")), "advantage", "mask").withColumn("advantage", F.col("advantage") * F.col("mask"))
+
+
+@register("remax")
+def remax(df: DataFrame, baseline: str = "val") -> DataFrame:
+    """Undiscounted returns less the reward of a greedy answer, ``baseline`` at the first token."""
+    first = F.first(baseline).over(Window.partitionBy("seq").orderBy("pos"))
+    return discounted_returns(df).withColumn("advantage", F.col("return") - first)
+
+
+@register("gdpo")
+def gdpo(df: DataFrame, weights: dict[str, float], by_std: bool = True) -> DataFrame:
+    """Several reward columns: each normalised in its group, summed by weight, whitened over the frame."""
+    out = df
+    for i, name in enumerate(weights):
+        one = grpo(out.withColumn("score", F.col(name).cast("double")), by_std)
+        out = one.withColumn(f"__a{i}", F.col("advantage")).drop("advantage")
+    total = sum((F.col(f"__a{i}") * w for i, w in enumerate(weights.values())), F.lit(0.0))
+    return whiten(out.withColumn("advantage", total), "advantage").drop(*[f"__a{i}" for i in range(len(weights))])
+
+
+@register("optimal_token_baseline")
 def token_baseline(df: DataFrame) -> DataFrame:
     """Optimal token baseline per (uid, pos): sum(G W) / sum(W), W the running weight 1 - 2 pi + sum pi^2 of a sequence."""
     ahead = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -169,3 +210,10 @@ def token_baseline(df: DataFrame) -> DataFrame:
     at = Window.partitionBy("uid", "pos")
     base = F.sum(F.col("g") * F.col("w")).over(at) / (F.sum("w").over(at) + 1e-8)
     return t.withColumn("advantage", (F.col("g") - base) * F.col("mask"))
+
+
+@register("optimal_token_baseline_turns")
+def token_baseline_of_turns(df: DataFrame) -> DataFrame:
+    """Several turns: tokens that count are numbered anew before the baseline; the others are left out."""
+    t = df.where("mask = 1").withColumn("pos", F.row_number().over(Window.partitionBy("seq").orderBy("pos")))
+    return token_baseline(t)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.common import checkpoint, parallelism
+from sparkloom.functions.draws import drawn, uniform
 
 
 def with_positions(df: DataFrame, *order: str | Column, name: str = "row_pos") -> DataFrame:
@@ -146,7 +148,10 @@ def last_masked(ids: Column, mask: Column) -> Column:
 
 # --- Balanced partitioning ---
 def karmarkar_karp(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Indices of k partitions of near-equal sums by largest differencing; ties go to the lower index."""
+    """Indices of k partitions of near-equal sums by largest differencing; ties go to the lower index.
+
+    A set is its sum, its lowest index, and the two sets it was merged from; members are gathered once, at the end.
+    """
     import heapq
 
     if k < 1 or len(lengths) < k:
@@ -154,21 +159,32 @@ def karmarkar_karp(lengths: list[int], k: int, equal_size: bool = False) -> list
     if equal_size and len(lengths) % k:
         raise ValueError("the items do not divide evenly")
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
-    states = []
+    none = len(lengths)  # lowest index of an empty set
     groups = [order[i : i + k] for i in range(0, len(order), k)] if equal_size else [[i] for i in order]
+    heap = []
     for n, g in enumerate(groups):
-        sets = sorted(((lengths[i], [i]) for i in g), key=lambda s: (-s[0], s[1]))
-        sets += [(0, [])] * (k - len(sets))
-        states.append((-(sets[0][0] - sets[-1][0]), n, sets))
-    heapq.heapify(states)
+        sets = sorted((-lengths[i], i, None) for i in g) + [(0, none, None)] * (k - len(g))
+        heap.append((sets[0][0] - sets[-1][0], n, sets))
+    heapq.heapify(heap)
     n = len(groups)
-    while len(states) > 1:
-        _, _, a = heapq.heappop(states)
-        _, _, b = heapq.heappop(states)
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda s: (-s[0], sorted(s[1])))
-        heapq.heappush(states, (-(merged[0][0] - merged[-1][0]), n, merged))
+    while len(heap) > 1:
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        merged = [(x[0] + y[0], min(x[1], y[1]), (x, y)) for x, y in zip(a, reversed(b))]
+        merged.sort(key=lambda s: s[:2])
+        heapq.heappush(heap, (merged[0][0] - merged[-1][0], n, merged))
         n += 1
-    return [sorted(s[1]) for s in states[0][2]]
+    out = []
+    for top in heap[0][2]:
+        members, todo = [], [top]
+        while todo:
+            _, low, parts = todo.pop()
+            if parts:
+                todo += parts
+            elif low < none:
+                members.append(low)
+        out.append(sorted(members))
+    return out
 
 
 def balanced(df: DataFrame, key: str, length: str, k: int, equal_size: bool = False, within: str | None = None) -> DataFrame:
@@ -187,8 +203,43 @@ def balanced(df: DataFrame, key: str, length: str, k: int, equal_size: bool = Fa
 
 
 def seeded_order(key: str, seed: int) -> Column:
-    """A reproducible random order: a hash of key and seed."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """A reproducible random order: a digest of key and seed; ties go by the key."""
+    return F.struct(drawn(key, seed).alias("draw"), F.col(key).alias("key"))
+
+
+def resample(df: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """draw (0 to n - 1) and the key it hits: n draws with replacement, in proportion to ``weight`` (null and negative ones are 0).
+
+    Rows lie on a line in the order of the key, each as long as its weight. Range partitions hold stretches of the line, whose lengths are
+    one number per partition; a draw goes to the partition its point falls in and is looked up there. So nothing is sorted in one place, and
+    a heavy row is simply hit often. Weights that sum up to nothing give no rows.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = df.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"))
+    rows = checkpoint(rows.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()))
+    sums = {r["part"]: r["w"] for r in rows.groupBy("part").agg(F.sum("w").alias("w")).collect()}  # one row per partition
+    starts, at = [], 0.0
+    for p in range(parts):
+        starts.append(at)
+        at += sums.get(p, 0.0)
+    if at <= 0:
+        return spark.createDataFrame([], f"draw bigint, key {kind}")
+    points = spark.range(n).select(F.col("id").alias("draw"), (uniform("id", seed) * at).alias("x"))
+    ends = F.array(*[F.lit(s + sums.get(p, 0.0)) for p, s in enumerate(starts)])
+    points = points.withColumn("part", F.least(F.size(F.filter(ends, lambda e: e <= F.col("x"))), F.lit(max(p for p, w in sums.items() if w > 0))))
+
+    def look_up(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        if not len(rows) or not len(points):
+            return pd.DataFrame({"draw": pd.Series(dtype="int64"), "key": rows["key"][:0]})
+        line = starts[int(points["part"].iloc[0])] + np.cumsum(rows["w"].to_numpy())
+        held = np.flatnonzero(rows["w"].to_numpy() > 0)  # rounding must not end at a row of no weight
+        at = np.minimum(np.searchsorted(line, points["x"].to_numpy(), side="right"), held[-1])
+        return pd.DataFrame({"draw": points["draw"].to_numpy(), "key": rows["key"].to_numpy()[at]})
+
+    return rows.groupBy("part").cogroup(points.groupBy("part")).applyInPandas(look_up, f"draw bigint, key {kind}")
 
 
 def dispatch(df: DataFrame, ranks: int, f, schema: str) -> DataFrame:

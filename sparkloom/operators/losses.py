@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.kl import clamp, kl_penalty
+from sparkloom.functions.draws import uniform
+from sparkloom.functions.kl import clamp, entropy, kl_penalty
 
 MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-sum-norm", "seq-mean-token-mean")
 LOSSES: dict[str, Callable[..., tuple[DataFrame, Column]]] = {}
@@ -131,6 +132,55 @@ def kl_cov(df: DataFrame, share: float = 0.02, coef: float = 1.0) -> tuple[DataF
     return t, F.when(F.col("cov") >= F.col("cut"), plain + coef * F.abs(d)).otherwise(plain)
 
 
+@register("clip_cov")
+def clip_cov(df: DataFrame, share: float = 0.0002, low: float = 1.0, high: float = 5.0, seed: int = 3, clip: float = 0.2) -> tuple[DataFrame, Column]:
+    """Clipped loss without a drawn ``share`` of the tokens, taken from those whose covariance of advantage and log-probability lies
+    between ``low`` and ``high``."""
+    stats = df.where("mask = 1").agg(F.avg("adv").alias("__ma"), F.avg("logp").alias("__ml"))
+    cov = (F.col("adv") - F.col("__ma")) * (F.col("logp") - F.col("__ml"))
+    off = F.coalesce(cov.between(low, high) & (uniform("seq", "pos", seed) < share), F.lit(False))
+    frame, x = vanilla(df.crossJoin(F.broadcast(stats)).withColumn("__off", off).drop("__ma", "__ml"), clip, clip)  # stats is one row
+    return frame, F.when(F.col("__off"), 0.0).otherwise(x)
+
+
+#: Losses between a teacher's and a student's log-probabilities (columns), by name.
+DISTILLATION: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def register_distillation(name: str) -> Callable:
+    """Register a distillation loss under a name; a taken name is an error."""
+
+    def keep(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        if DISTILLATION.get(name, f) is not f:
+            raise ValueError(f"distillation loss {name} exists")
+        DISTILLATION[name] = f
+        return f
+
+    return keep
+
+
+for _kind in ("k1", "k2", "k3", "abs"):
+    register_distillation(f"reverse_{_kind}")(lambda student, teacher, kind=_kind: kl_penalty(student, teacher, kind))
+
+
+@register_distillation("forward_topk")
+def forward_topk(student: Column, teacher: Column) -> Column:
+    """Forward divergence over the teacher's leading tokens: both are arrays of log-probabilities of the same tokens."""
+    return F.aggregate(F.zip_with(teacher, student, lambda t, s: F.exp(t) * (t - s)), F.lit(0.0), lambda a, x: a + x)
+
+
+def distillation_loss(df: DataFrame, name: str, student: str = "logp", teacher: str = "old_logp", mode: str = "token-mean") -> DataFrame:
+    """One row, ``loss``, by the distillation loss of that name."""
+    if name not in DISTILLATION:
+        raise ValueError(f"no distillation loss {name}; there are {sorted(DISTILLATION)}")
+    return aggregate_loss(df, DISTILLATION[name](F.col(student), F.col(teacher)), mode)
+
+
+def entropy_loss(df: DataFrame, logits: str, mode: str = "token-mean") -> DataFrame:
+    """One row, ``loss``: the entropy of the logits, reduced."""
+    return aggregate_loss(df, entropy(F.col(logits)), mode)
+
+
 def geo_mean(df: DataFrame, low: float = 0.4, high: float = 0.4) -> DataFrame:
     """Per sequence the geometric mean of the clipped ratios, plain mean over sequences: one row, loss."""
     d, _ = ratio(df)

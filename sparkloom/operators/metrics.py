@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.draws import uniform
+
 
 def judged(status: Column, correct: Column) -> Column:
     """A row counts as judged if its status is no evaluation error and its verdict is known."""
@@ -60,3 +62,21 @@ def best_worst_of(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
     top = F.pow(F.col("r") / F.col("k"), n) - F.pow((F.col("r") - 1) / F.col("k"), n)
     low = F.pow((F.col("k") - F.col("r") + 1) / F.col("k"), n) - F.pow((F.col("k") - F.col("r")) / F.col("k"), n)
     return t.groupBy(group).agg(F.sum(F.col("v") * top).alias("best"), F.sum(F.col("v") * low).alias("worst"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+def bootstrap(df: DataFrame, group: str, value: str, order: str, size: int, rounds: int = 1000, seed: int = 42, reducers: dict | None = None) -> DataFrame:
+    """Per group the mean and the population deviation, over ``rounds`` resamples of ``size`` values with replacement, of each reducer
+    (name: column -> aggregate; mean, best and worst if none are given): ``<name>_mean``, ``<name>_std``.
+
+    Only the draws are made: groups times rounds times ``size`` rows, whatever the number of values, joined with the values by their place in the
+    group. Null values are left out.
+    """
+    from pyspark.sql import Window
+
+    reducers = reducers or {"mean": F.avg, "best": F.max, "worst": F.min}
+    w = Window.partitionBy(group)
+    v = df.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("at"))
+    draws = v.groupBy(group).agg(F.count("*").alias("k")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(size))))
+    draws = draws.withColumn("at", F.floor(uniform(group, "round", "i", seed) * F.col("k")).cast("int"))
+    each = draws.join(v, [group, "at"]).groupBy(group, "round").agg(*[f(F.col("v")).alias(name) for name, f in reducers.items()])
+    return each.groupBy(group).agg(*[x for name in reducers for x in (F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std"))])

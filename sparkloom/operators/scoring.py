@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import importlib.util
-import json
-from collections import Counter
+import signal
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,39 +12,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def overlap(a: list, b: list) -> float:
-    """Multiset Jaccard."""
-    if a == b:
-        return 1.0
-    p, q = Counter(a), Counter(b)
-    shared = (p & q).total()
-    return shared / (p.total() + q.total() - shared) if a and b else 0.0
-
-
-def tool_call_reward(truth: list[dict], said: list[dict], low: float = -3.0, high: float = 3.0) -> float:
-    """Names, parameter names and values of the wanted calls, each matched with its best unused call, scaled to low..high."""
-    if truth == said:
-        return high
-    free = list(said)
-    got, most = overlap([t["name"] for t in truth], [s["name"] for s in said]), 1.0
-    for want in truth:
-        p = want["parameters"]
-        most += 1.0 + len(p)
-        value, best = 0.0, None
-        for call in free:
-            if call["name"] == want["name"]:
-                s = overlap(list(p), list(call["parameters"])) + sum(k in call["parameters"] and call["parameters"][k] == v for k, v in p.items())
-                if s > value:
-                    value, best = s, call
-        if best is not None:
-            free = [c for c in free if c is not best]
-            got += value
-    return (high - low) * got / most + low
-
-
-def score_batches(df: DataFrame, key: str, columns: list[str], score: Callable[..., float | tuple], default: float = 0.0) -> DataFrame:
-    """key and score of every row, by a Python function over Arrow batches. A failure or a null counts ``default``; of a
-    tuple the first element counts."""
+CALLS = "array<struct<name:string,parameters:map<string,string>>>"
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    """Multiset overlap of two arrays; 1 for equal ones."""
+    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    return F.when(F.array_sort(a) == F.array_sort(b), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def tool_call_reward(truth: Column, said: Column, low: float = -3.0, high: float = 3.0) -> Column:
+    """Reward of the calls said for those wanted (both CALLS): agreement of the names, and for each wanted call in turn the best call of its name
+    that is still free, by parameter names and values; scaled to low..high. Broken calls (null) give ``low``."""
+
+    def worth(t: Column, c: Column) -> Column:
+        keys, held = F.map_keys(t["parameters"]), c["parameters"]
+        return _jaccard(keys, F.map_keys(held)) + F.size(F.filter(keys, lambda k: F.map_contains_key(held, k) & F.element_at(t["parameters"], k).eqNullSafe(F.element_at(held, k))))
+
+    def step(acc: Column, t: Column) -> Column:
+        # (worth, -place) of the free calls of this name: the largest is the best, and the first of equal ones.
+        open_ = F.filter(F.transform(said, lambda c, i: F.struct(F.when(c["name"] == t["name"], worth(t, c)).alias("worth"), (-i).alias("back"))), lambda o: (o["worth"] > 0) & ~F.array_contains(acc["used"], -o["back"]))
+        best = F.array_max(open_)
+        return F.struct(
+            (acc["got"] + F.coalesce(best["worth"], F.lit(0.0))).alias("got"),
+            (acc["most"] + 1.0 + F.size(t["parameters"])).alias("most"),
+            F.when(best.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(-best["back"]))).alias("used"),
+        )
+
+    names = _jaccard(F.transform(truth, lambda c: c["name"]), F.transform(said, lambda c: c["name"]))
+    start = F.struct(names.alias("got"), F.lit(1.0).alias("most"), F.array().cast("array<int>").alias("used"))
+    return F.coalesce(F.aggregate(truth, start, step, lambda a: (high - low) * a["got"] / a["most"] + low), F.lit(low))
+
+
+class _TooLong(Exception):
+    pass
+
+
+def _in_time(score: Callable, row: tuple, seconds: float | None) -> object:
+    """``score(*row)``, ended by an alarm after ``seconds``: a worker runs it in its main thread."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        return score(*row)
+
+    def ring(*_: object) -> None:
+        raise _TooLong
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return score(*row)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def score_batches(df: DataFrame, key: str, columns: list[str], score: Callable[..., float | tuple], default: float = 0.0, seconds: float | None = None) -> DataFrame:
+    """key and score of every row, by a Python function over Arrow batches. A failure, a null or a call of more than
+    ``seconds`` counts ``default``; of a tuple the first element counts."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +75,7 @@ def score_batches(df: DataFrame, key: str, columns: list[str], score: Callable[.
             out = []
             for row in f[columns].itertuples(index=False):
                 try:
-                    s = score(*row)
+                    s = _in_time(score, row, seconds)
                     s = s[0] if isinstance(s, tuple) else s
                     out.append(default if s is None else float(s))
                 except Exception:  # noqa: BLE001 - a broken answer must not end the job
@@ -62,6 +85,54 @@ def score_batches(df: DataFrame, key: str, columns: list[str], score: Callable[.
     return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, score double")
 
 
+MANAGERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_manager(name: str) -> Callable:
+    """Register a reward manager (frame, options -> frame with ``reward``) under a name; a taken name is an error."""
+
+    def keep(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if MANAGERS.get(name, f) is not f:
+            raise ValueError(f"reward manager {name} exists")
+        MANAGERS[name] = f
+        return f
+
+    return keep
+
+
+def rewards(df: DataFrame, manager: str, **options) -> DataFrame:
+    """Rewards by the manager of that name."""
+    if manager not in MANAGERS:
+        raise ValueError(f"no reward manager {manager}; there are {sorted(MANAGERS)}")
+    return MANAGERS[manager](df, **options)
+
+
+@register_manager("naive")
+def naive_rewards(df: DataFrame, score: Column) -> DataFrame:
+    """A score expression for each row; null counts 0."""
+    return df.withColumn("reward", F.coalesce(score.cast("double"), F.lit(0.0)))
+
+
+@register_manager("batch")
+def batch_rewards(df: DataFrame, key: str, columns: list[str], score: Callable, seconds: float | None = None) -> DataFrame:
+    """A Python function over batches; failures and overlong calls count 0."""
+    return df.join(score_batches(df, key, columns, score, 0.0, seconds).withColumnRenamed("score", "reward"), key)
+
+
+@register_manager("overlong")
+def overlong_rewards(df: DataFrame, score: Column, length: str, limit: int, buffer: int, factor: float = 1.0) -> DataFrame:
+    """A score less a penalty that grows over the last ``buffer`` tokens before ``limit``."""
+    over = F.least((-(F.col(length) - (limit - buffer)) / float(buffer)) * factor, F.lit(0.0))
+    return naive_rewards(df, score).withColumn("reward", F.col("reward") + over)
+
+
+@register_manager("components")
+def component_rewards(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """A weighted sum of reward columns; null components count 0."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+    return df.withColumn("reward", total)
+
+
 def custom_function(path: str, name: str) -> Callable:
     """A reward function loaded from a file of the user's."""
     spec = importlib.util.spec_from_file_location("custom_reward", path)
@@ -74,10 +145,6 @@ def custom_function(path: str, name: str) -> Callable:
     return getattr(module, name)
 
 
-def from_json_calls(truth: str, said: str) -> float:
-    return tool_call_reward(json.loads(truth), json.loads(said))
-
-
 # --- Conversations: array<struct<role, content>> ---
 def answer_instead_of_call(messages: Column, call: str = "submit_answer") -> Column:
     """A closing tool call rewritten as an answer span of the assistant's turn before it; its response goes too."""

@@ -72,17 +72,13 @@ def adv_reinforce_pp_baseline(spark, d):
  + 0.3 * (b - CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(b) OVER w END) / (CASE WHEN count(*) OVER w = 1 THEN 1 ELSE stddev_samp(b) OVER w END + 1e-6) AS v FROM two WINDOW w AS (PARTITION BY uid)),
  s AS (SELECT avg(v) AS m, var_samp(v) AS va FROM g) SELECT idx, uid, rnd((v - m) / sqrt(va + 1e-8), 5) AS advantage FROM g, s""")
 def adv_gdpo(spark, d):
-    """Several reward keys: each normalised in its group, summed by weight, whitened."""
-    df = rollouts(spark, d).withColumn("b", F.length("kind").cast("double"))
-    one = A.grpo(df).withColumnRenamed("advantage", "x").drop("score").withColumnRenamed("b", "score")
-    return _show(A.whiten(A.grpo(one).withColumn("advantage", 0.7 * F.col("x") + 0.3 * F.col("advantage")), "advantage"))
+    df = rollouts(spark, d).withColumn("a", F.col("score")).withColumn("b", F.length("kind").cast("double"))
+    return _show(A.advantage(df, "gdpo", weights={"a": 0.7, "b": 0.3}))
 
 
 @q("adv_remax", f"WITH {TOK} SELECT seq, pos, rnd(sum(reward) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - first_value(val) OVER (PARTITION BY seq ORDER BY pos), 5) AS advantage FROM tok")
 def adv_remax(spark, d):
-    t = A.discounted_returns(tokens(spark, d))
-    base = F.first("val").over(Window.partitionBy("seq").orderBy("pos"))
-    return t.select("seq", "pos", rnd(F.col("return") - base, 5).alias("advantage"))
+    return A.advantage(tokens(spark, d), "remax").select("seq", "pos", rnd("advantage", 5).alias("advantage"))
 
 
 @q("adv_discounted_returns", f"""WITH RECURSIVE {TOK}, n AS (SELECT seq, max(pos) AS last FROM tok GROUP BY seq),
@@ -111,9 +107,16 @@ def adv_token_baseline(spark, d):
  sum(1 - 2 * exp(logp) + exp(logp) * exp(logp)) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM c)
  SELECT seq, pos, rnd(g - sum(g * w) OVER p / (sum(w) OVER p + 1e-8), 4) AS advantage FROM t WINDOW p AS (PARTITION BY uid, pos)""")
 def adv_token_baseline_compacted(spark, d):
-    """Several turns: valid tokens are numbered anew before the baseline."""
-    t = tokens(spark, d).where("mask = 1").withColumn("pos", F.row_number().over(Window.partitionBy("seq").orderBy("pos")))
-    return A.token_baseline(t).select("seq", "pos", rnd("advantage", 4).alias("advantage"))
+    return A.advantage(tokens(spark, d), "optimal_token_baseline_turns").select("seq", "pos", rnd("advantage", 4).alias("advantage"))
+
+
+@q("adv_reinforce_pp", f"""WITH RECURSIVE {TOK}, n AS (SELECT seq, max(pos) AS last FROM tok GROUP BY seq),
+ r AS (SELECT t.seq, t.pos, CAST(t.reward AS DOUBLE) AS ret, t.mask FROM tok t JOIN n ON n.seq = t.seq AND n.last = t.pos
+ UNION ALL SELECT t.seq, t.pos, t.reward + 0.9 * r.ret * r.mask, t.mask FROM r JOIN tok t ON t.seq = r.seq AND t.pos = r.pos - 1),
+ s AS (SELECT sum(mask * ret) / sum(mask) AS m, (sum(mask * ret * ret) - sum(mask * ret) * sum(mask * ret) / sum(mask)) / (sum(mask) - 1) AS va FROM r)
+ SELECT seq, pos, rnd((ret - m) / sqrt(va + 1e-8) * mask, 4) AS advantage FROM r, s""")
+def adv_reinforce_pp(spark, d):
+    return A.advantage(tokens(spark, d), "reinforce_plus_plus", gamma=0.9).select("seq", "pos", rnd("advantage", 4).alias("advantage"))
 
 
 @q("adv_multi_trajectory", f"""WITH {ROLL}, l AS (SELECT uid, kind AS session, arg_max(score, idx) AS score FROM roll GROUP BY uid, kind), g AS (SELECT uid, session,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.common import table
 from sparkloom.operators import metrics as M
-from sparkloom.plans.base import ROLL, TOK, Book, rnd, rollouts, tokens
+from sparkloom.plans.base import ROLL, TOK, Book, rnd, rollouts, tokens, uniform
 
 q = Book()
 _EVAL = """ev AS (SELECT event_id, event_type AS category, CAST(user_id % 3 AS INT) AS level, CASE WHEN event_id % 17 = 0 THEN 'evaluation_error' WHEN event_id % 5 = 0 THEN NULL ELSE 'ok' END AS status,
@@ -118,19 +118,16 @@ q("metric_flops", "SELECT o_custkey, rnd(sum(24576.0 * o_shippable + o_shippable
 q("metric_overlong_penalty", "SELECT o_orderkey, rnd(o_totalprice / 1e5 + least(-greatest((o_orderkey % 900) - 600, 0) / 200.0 * 0.5, 0), 6) AS reward FROM orders")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", rnd(F.col("o_totalprice") / 1e5 + F.least(-F.greatest(F.col("o_orderkey") % 900 - 600, F.lit(0)) / 200.0 * 0.5, F.lit(0.0)), 6).alias("reward"))
 )
-q("metric_bootstrap")(lambda s, d: _bootstrap(s, d))
+_BOOT = ", ".join(f"rnd(avg({x}), 5) AS {x}_mean, rnd(stddev_pop({x}), 5) AS {x}_std" for x in ("mean", "best", "worst"))
+q("metric_bootstrap", f"""WITH {ROLL}, v AS (SELECT kind, score AS v, row_number() OVER (PARTITION BY kind ORDER BY idx) - 1 AS pl FROM roll WHERE score IS NOT NULL), g AS (SELECT kind, count(*) AS k FROM v GROUP BY 1),
+ dr AS (SELECT kind, k, a.r, b.i FROM g, (SELECT unnest(range(1, 201)) AS r) a, (SELECT unnest(range(1, 9)) AS i) b), p AS (SELECT kind, r, CAST(floor({uniform('kind', 'r', 'i', '42')} * k) AS BIGINT) AS pl FROM dr),
+ e AS (SELECT kind, r, avg(v) AS mean, max(v) AS best, min(v) AS worst FROM p JOIN v USING (kind, pl) GROUP BY 1, 2) SELECT kind, {_BOOT} FROM e GROUP BY 1""")(
+    lambda s, d: _boot(M.bootstrap(rollouts(s, d), "kind", "score", "idx", 8, 200))
+)
 
 
-def _bootstrap(spark, d, rounds: int = 200):
-    """Poisson bootstrap: each row counts a Poisson(1) number of times in each round, so no round needs a sort or a
-    driver-side draw, and rounds are summed up in one pass with map-side combining."""
-    r = rollouts(spark, d).where("score is not null").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.pmod(F.xxhash64("idx", "b", F.lit(42)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Poisson(1) by its distribution function.
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-    n = sum(((u > x).cast("int") for x in steps[1:]), (u > steps[0]).cast("int"))
-    m = r.groupBy("kind", "b").agg((F.sum(F.col("score") * n) / F.sum(n)).alias("mean"))
-    return m.groupBy("kind").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"))
+def _boot(df):
+    return df.select("kind", *[rnd(c, 5).alias(c) for c in df.columns if c != "kind"])
 
 
 QUERIES, SQL = q.queries, q.sql

@@ -55,6 +55,16 @@ def _expand(sql: str) -> str:
     return sql
 
 
+def drawn(*parts: str) -> str:
+    """SQL of ``functions.draws.drawn`` over SQL expressions."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def uniform(*parts: str) -> str:
+    """SQL of ``functions.draws.uniform``."""
+    return f"(({drawn(*parts)} + 0.5) / 4294967296.0)"
+
+
 class Book:
     """Queries and their SQL, filled by a decorator."""
 

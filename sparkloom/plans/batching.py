@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.common import table
 from sparkloom.operators import batches as B
-from sparkloom.plans.base import ROLL, Book, rnd, rollouts
+from sparkloom.plans.base import ROLL, Book, drawn, rnd, rollouts, uniform
 
 q = Book()
 _POS = "p AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_pos, count(*) OVER () AS n FROM orders)"
@@ -245,21 +245,15 @@ def join_chain_walk(spark, d):
 
 
 # --- Sampling ---
-q("sample_seeded")(lambda s, d: table(s, d, "orders").orderBy(B.seeded_order("o_orderkey", 42)).limit(100).select("o_orderkey"))
+q("sample_seeded", f"SELECT o_orderkey FROM orders ORDER BY {drawn('o_orderkey', '42')}, o_orderkey LIMIT 100")(lambda s, d: table(s, d, "orders").orderBy(B.seeded_order("o_orderkey", 42)).limit(100).select("o_orderkey"))
 
 
-@q("sample_weighted")
+@q("sample_weighted", f"""WITH {ROLL}, c AS (SELECT idx, sum(abs(score) * abs(score) + 1e-8) OVER (ORDER BY idx) AS hi FROM roll), n AS (SELECT count(*) AS n, sum(abs(score) * abs(score) + 1e-8) AS t FROM roll),
+ p AS (SELECT i AS draw, {uniform('i', '7')} * t AS x FROM n, LATERAL (SELECT unnest(range(n)) AS i)) SELECT draw, idx FROM p ASOF JOIN c ON p.x < c.hi""")
 def sample_weighted(spark, d):
-    """Resampling with replacement by weight |score|^2 + 1e-8: per row a Poisson number of copies with that mean, which
-    needs no global cumulative sum; the expected number of rows is kept."""
+    """Resampling with replacement by weight |score|^2 + 1e-8, as many draws as rows."""
     r = rollouts(spark, d).withColumn("w", F.abs("score") ** 2 + 1e-8)
-    total = r.agg(F.sum("w").alias("t"), F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64("idx", F.lit(7)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    mean = F.col("w") / F.col("t") * F.col("n")
-    # Inverse Poisson distribution by summing its terms; 64 terms cover any mean that occurs.
-    step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), (acc["c"] + acc["p"] * mean / k).alias("c"), (acc["k"] + (acc["c"] < u).cast("int")).alias("k"))
-    copies = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k")), step)["k"]
-    return B.repeat_by(r.crossJoin(F.broadcast(total)).withColumn("copies", copies), "copies").select("idx", "copy")
+    return B.resample(r, "idx", "w", r.count(), 7).select("draw", F.col("key").alias("idx"))
 
 
 q("sample_weights", f"WITH {ROLL} SELECT idx, rnd(abs(score) * abs(score) + 1e-8, 6) AS w, rnd(CASE WHEN score = max(score) OVER () THEN 0.4 ELSE 0.1 END + 1e-8, 6) AS w_max FROM roll")(
@@ -268,6 +262,16 @@ q("sample_weights", f"WITH {ROLL} SELECT idx, rnd(abs(score) * abs(score) + 1e-8
 
 # --- Partitioning ---
 q("balance_karmarkar_karp")(lambda s, d: B.balanced(table(s, d, "orders").withColumn("g", F.floor(F.col("o_orderkey") / 512)), "o_orderkey", "o_totalprice", 8, within="g"))
+q("balance_karmarkar_karp_fit", "WITH o AS (SELECT floor(o_orderkey / 512) AS g, floor(o_totalprice) AS len FROM orders) SELECT CAST(g AS BIGINT) AS g, least(8, count(*)) AS parts, count(*) AS placed, true AS even FROM o GROUP BY 1")(lambda s, d: _fit(s, d))
+
+
+def _fit(spark, d):
+    """Every row is placed once, every partition used, and no two sums differ by more than the longest row."""
+    o = table(spark, d, "orders").withColumn("g", F.floor(F.col("o_orderkey") / 512))
+    sums = B.balanced(o, "o_orderkey", "o_totalprice", 8, within="g").groupBy("g", "partition").agg(F.sum("len").alias("s"), F.count("*").alias("n"), F.max("len").alias("m"))
+    return sums.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("placed"), (F.max("s") - F.min("s") <= F.max("m")).alias("even"))
+
+
 q("balance_unbalance_report", "WITH p AS (SELECT o_orderkey % 8 AS part, floor(o_orderkey / 2000) AS run, o_totalprice AS len FROM orders), a AS (SELECT sum(len) AS s FROM p GROUP BY part), b AS (SELECT sum(len) AS s FROM p GROUP BY run) SELECT rnd((SELECT min(s) FROM b), 1) AS min_run, rnd((SELECT max(s) FROM b), 1) AS max_run, rnd((SELECT min(s) FROM a), 1) AS min_part, rnd((SELECT max(s) FROM a), 1) AS max_part")(
     lambda s, d: _unbalance(s, d)
 )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.common import shared_dir, table
 from sparkloom.operators.batches import with_positions
-from sparkloom.plans.base import ROLL, Book, rnd, rollouts
+from sparkloom.functions.draws import chosen
+from sparkloom.functions.draws import uniform as draw
+from sparkloom.plans.base import drawn, uniform, ROLL, Book, rnd, rollouts
 from sparkloom.sources import files, shards
 from sparkloom.streaming import queues
 
@@ -58,7 +60,7 @@ q("source_capped", "SELECT key, src FROM (SELECT c_custkey AS key, 0 AS src FROM
     lambda s, d: files.capped([table(s, d, "customer").select(F.col("c_custkey").alias("key")), table(s, d, "supplier").select(F.col("s_suppkey").alias("key"))], 1000, "key").select("key", F.col("source_ord").alias("src"))
 )
 q("source_first_n", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500")(lambda s, d: files.sampled(table(s, d, "orders"), "o_orderkey", 500).select("o_orderkey"))
-q("source_sampled")(lambda s, d: files.sampled(table(s, d, "orders"), "o_orderkey", 500, seed=1).select("o_orderkey"))
+q("source_sampled", f"SELECT o_orderkey FROM orders ORDER BY {drawn('o_orderkey', '1')}, o_orderkey LIMIT 500")(lambda s, d: files.sampled(table(s, d, "orders"), "o_orderkey", 500, seed=1).select("o_orderkey"))
 q("source_skip_ids", "SELECT video_idx FROM videos WHERE video_id IS NOT NULL AND lower(trim(video_id)) NOT IN (SELECT lower(trim(x)) FROM (SELECT unnest(skipped_video_ids) AS x FROM checkpoint_state) WHERE x IS NOT NULL)")(
     lambda s, d: files.pending(table(s, d, "videos").where("video_id is not null"), table(s, d, "checkpoint_state").select(F.explode("skipped_video_ids").alias("video_id")), "video_id").select("video_idx")
 )
@@ -171,7 +173,10 @@ def stream_token_bucket(spark, d):
     return e.select("user_id", rnd(F.aggregate(queues.token_bucket(F.col("a"), 0.02, 10.0), F.lit(0.0), lambda s, x: s + x), 2).alias("waited"))
 
 
-@q("stream_agent_states")
+@q("stream_agent_states", """WITH RECURSIVE e AS (SELECT user_id, event_id % 5 AS calls, event_id % 50 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ r AS (SELECT user_id, k, tokens AS used, CASE WHEN tokens > 150 THEN 'terminated_length' WHEN calls = 0 THEN 'terminated' WHEN k >= 8 THEN 'terminated_turns' ELSE 'running' END AS state FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.k, r.used + e.tokens, CASE WHEN r.used + e.tokens > 150 THEN 'terminated_length' WHEN e.calls = 0 THEN 'terminated' WHEN e.k >= 8 THEN 'terminated_turns' ELSE 'running' END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 WHERE r.state = 'running')
+ SELECT user_id, arg_max(state, k) AS state, CAST(arg_max(used, k) AS BIGINT) AS used, CAST(max(k) AS INT) AS n FROM r GROUP BY 1""")
 def stream_agent_states(spark, d):
     t = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("event_id") % 5).alias("calls"), (F.col("event_id") % 50).alias("tokens")))).alias("a"))
     return t.select("user_id", queues.agent_states(F.col("a"), 8, 150).alias("s")).select("user_id", "s.state", "s.used", "s.n")
@@ -189,8 +194,8 @@ def source_generated(spark, d):
     return spark.read.format("generated").option("rows", 10000).option("partitions", 4).load()
 
 
-q("sample_categorical", f"WITH {ROLL} SELECT count(*) AS n FROM roll")(
-    lambda s, d: rollouts(s, d).withColumn("u", (F.pmod(F.xxhash64("idx"), F.lit(1 << 30)) + 0.5) / float(1 << 30)).withColumn("depth", F.when(F.col("u") < 0.5, 2).when(F.col("u") < 0.8, 3).otherwise(4)).groupBy("depth").count().agg(F.sum("count").alias("n"))
+q("sample_categorical", f"WITH u AS (SELECT event_id, {uniform('event_id', '5')} AS u FROM events) SELECT event_id, CASE WHEN u < 0.5 THEN 'two' WHEN u < 0.8 THEN 'three' ELSE 'four' END AS depth FROM u")(
+    lambda s, d: table(s, d, "events").select("event_id", chosen(draw("event_id", 5), {"two": 0.5, "three": 0.3, "four": 0.2}).alias("depth"))
 )
 q("sample_slots", "SELECT n_name AS lang, r_name AS region, era FROM nation, region, (SELECT unnest(['plain', 'region', 'era']) AS era)")(
     lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("lang")).crossJoin(table(s, d, "region").select(F.col("r_name").alias("region"))).withColumn("era", F.explode(F.array(*map(F.lit, ("plain", "region", "era")))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkloom.common import table
 from sparkloom.functions import kl
 from sparkloom.operators import losses as L
-from sparkloom.plans.base import TOK, Book, rnd, tokens
+from sparkloom.plans.base import TOK, Book, rnd, tokens, uniform
 
 q = Book()
 _CL = "greatest(least(logp - old_logp, 20), -20)"
@@ -54,6 +54,16 @@ q("loss_kl_cov", f"""WITH {TOK}, s AS (SELECT avg(adv) AS ma, avg(logp) AS ml FR
  k AS (SELECT quantile_cont(cov, 0.98) AS cut FROM c), l AS (SELECT seq, mask, -adv * {_R} + CASE WHEN cov >= cut THEN abs({_CL}) ELSE 0 END AS x FROM c, k) """ + _REDUCE["token-mean"])(_loss("kl_cov", "token-mean"))
 
 
+q("loss_clip_cov", f"""WITH {TOK}, s AS (SELECT avg(adv) AS ma, avg(logp) AS ml FROM tok WHERE mask = 1), l AS (SELECT seq, mask, CASE WHEN (adv - ma) * (logp - ml) BETWEEN 0.1 AND 2.0 AND {uniform('seq', 'pos', '3')} < 0.05 THEN 0 ELSE {_EXPR["vanilla"]} END AS x FROM tok, s) """ + _REDUCE["token-mean"])(
+    lambda s, d: _one(L.loss(tokens(s, d), "clip_cov", share=0.05, low=0.1, high=2.0))
+)
+for _kind, _sql in {"reverse_k1": "logp - old_logp", "reverse_k2": "0.5 * (logp - old_logp) * (logp - old_logp)", "reverse_abs": "abs(logp - old_logp)"}.items():
+    q(f"loss_distillation_{_kind}", f"WITH {TOK}, l AS (SELECT seq, mask, {_sql} AS x FROM tok) " + _REDUCE["token-mean"])(lambda s, d, k=_kind: _one(L.distillation_loss(tokens(s, d), k)))
+q("loss_entropy", f"WITH {TOK}, p AS (SELECT seq, mask, exp(logp) AS a, exp(old_logp) AS b FROM tok), l AS (SELECT seq, mask, ln(a + b) - (a * ln(a) + b * ln(b)) / (a + b) AS x FROM p) " + _REDUCE["token-mean"])(
+    lambda s, d: _one(L.entropy_loss(tokens(s, d).withColumn("logits", F.array("logp", "old_logp")), "logits"))
+)
+
+
 @q("loss_geo_mean", f"""WITH {TOK}, g AS (SELECT seq, sum(sign(adv) * least(sign(adv) * {_CL}, sign(adv) * greatest(least({_CL}, 0.4), -0.4)) * mask) / (sum(mask) + 1e-8) AS g, sum(adv * mask) / (sum(mask) + 1e-8) AS a FROM tok GROUP BY seq)
  SELECT rnd(avg(-a * exp(g)), 5) AS loss FROM g""")
 def loss_geo_mean(spark, d):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparkloom.common import table
 from sparkloom.functions.text import document_text, snippet, thumbnail
 from sparkloom.operators import retrieval as R
-from sparkloom.plans.base import Book, rnd
+from sparkloom.plans.base import Book, rnd, uniform
 
 q = Book()
 _BODY = "concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(subtitle, ''), nullif(array_to_string(tags, ' '), ''))"
@@ -96,14 +96,65 @@ q("search_tool_envelope", f"WITH {_BM25} SELECT q, count(*) AS n FROM lex WHERE
     lambda s, d: _lexical(s, d, 5).groupBy("q").agg(F.to_json(F.struct(F.first("q").alias("query"), F.sort_array(F.collect_list(F.struct("rank", "doc"))).alias("results"))).alias("j")).select("q", F.size(F.from_json("j", "results array<struct<rank:int,doc:bigint>>")["results"]).cast("bigint").alias("n"))
 )
 
-#: One tier of the perturbation, the middle one.
-MEDIUM = {"gold_actions": {"keep": 0.50, "sink_mid": 0.35, "sink_bottom": 0.13, "drop": 0.02}, "p_title_jitter": 0.4, "p_empty": 0.01, "k_jitter": [-1, 2]}
+_PIECES = {n: f"CASE tier " + " ".join(f"WHEN '{t}' THEN {c[n][0]}" for t, c in R.TIERS.items()) + " END, CASE tier " + " ".join(f"WHEN '{t}' THEN {c[n][1]}" for t, c in R.TIERS.items()) + " END" for n in ("k_jitter", "n_hard_neg")}
 
 
-@q("search_perturbed")
-def search_perturbed(spark, d):
-    hits = _lexical(spark, d, 20).join(table(spark, d, "videos").select(F.col("video_idx").alias("doc"), "title"), "doc")
-    return R.perturb(hits, _asked(spark, d).select("q", F.col("q").alias("doc")), MEDIUM, 10)
+def _whole(u: str, low: str, high: str) -> str:
+    return f"CAST(floor({u} * ({high} - ({low}) + 1)) + ({low}) AS INT)"
 
 
+def _drawn_sql() -> str:
+    """What is drawn for each query, over asked(q)."""
+    jitter, hard = (_PIECES[n].split(", CASE") for n in ("k_jitter", "n_hard_neg"))
+    actions = []
+    for t, c in R.TIERS.items():
+        cum, arms = 0.0, []
+        for name, w in c["gold_actions"].items():
+            cum += w / sum(c["gold_actions"].values())
+            arms.append(f"WHEN {uniform('q', '0', chr(39) + 'gold' + chr(39))} < {cum!r} THEN '{name}'")
+        actions.append(f"WHEN tier = '{t}' THEN CASE {' '.join(arms)} ELSE '{name}' END")
+    u = lambda what: uniform("q", "0", f"'{what}'")
+    return f"""ti AS (SELECT q, pool, CASE WHEN {u('tier')} < 0.55 THEN 'easy' WHEN {u('tier')} < 0.55 + 0.35 THEN 'medium' ELSE 'hard' END AS tier FROM asked),
+ dr AS (SELECT q, tier, {u('empty')} < CASE tier WHEN 'medium' THEN 0.01 WHEN 'hard' THEN 0.03 ELSE 0 END AS empty, greatest(1, least(10 + {_whole(u('k'), jitter[0], 'CASE' + jitter[1])}, pool)) AS k,
+ CASE {' '.join(actions)} END AS action, {_whole(u('hard'), hard[0], 'CASE' + hard[1])} AS n_hard FROM ti)"""
+
+
+q("search_perturbed_draws", f"WITH asked AS (SELECT video_idx AS q, CAST(video_idx % 37 + 1 AS INT) AS pool FROM videos), {_drawn_sql()} SELECT q, tier, empty, CAST(k AS INT) AS k, action, n_hard FROM dr")(
+    lambda s, d: R.perturbation_draws(table(s, d, "videos").select(F.col("video_idx").alias("q"), (F.col("video_idx") % 37 + 1).cast("int").alias("pool")), F.col("pool"), 10).drop("pool")
+)
+
+
+def _perturbed(spark, d):
+    v = table(spark, d, "videos").select(F.col("video_idx").alias("doc"), F.col("fake_url").alias("url"), "title", F.col("description").alias("snippet"))
+    hits = _lexical(spark, d, 50).join(v, "doc")
+    return R.perturb(hits, _asked(spark, d).join(v, F.col("q") == F.col("doc")).select("q", "url"), 10)
+
+
+q("search_perturbed")(lambda s, d: _perturbed(s, d)[0])
+q("search_perturbed_metrics")(lambda s, d: _perturbed(s, d)[1])
+q("search_perturbed_subset", f"WITH {_BM25}, n AS (SELECT q, count(*) AS n FROM lex WHERE rank <= 50 GROUP BY 1), asked AS (SELECT q, CAST(n AS INT) AS pool FROM n), {_drawn_sql()} SELECT q, 0 AS invented, true AS once, true AS fits FROM dr WHERE NOT empty")(lambda s, d: _subset(s, d))
+
+
+def _subset(spark, d):
+    """No result is invented or shown twice, ranks are dense, and a list is as long as was drawn or as its results allow."""
+    lists, metrics = _perturbed(spark, d)
+    known = table(spark, d, "videos").select(F.col("fake_url").alias("url")).distinct().withColumn("known", F.lit(True))
+    n = lists.join(known, "url", "left").groupBy("q").agg(F.count_if(F.col("known").isNull()).cast("int").alias("invented"), (F.countDistinct("url") == F.count("*")).alias("once"), (F.max("rank") == F.count("*")).alias("dense"), F.count("*").alias("n"))
+    return n.join(metrics.select("q", "k", "displayed"), "q").select("q", "invented", "once", (F.col("dense") & (F.col("n") <= F.col("k")) & (F.col("n") == F.col("displayed"))).alias("fits"))
+
+
+q("search_result_text", "SELECT doc_id, CASE WHEN length(text) > 400 THEN concat(left(text, 400), '... [truncated]') ELSE text END AS snippet FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", R.result_text(F.col("text")).alias("snippet"))
+)
+
+_KEYS = """uk AS (SELECT vector_row AS doc, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM keyframe_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ nk AS (SELECT doc, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM uk), mk AS (SELECT DISTINCT vector_row AS doc, video_idx FROM keyframe_meta)"""
+q("hybrid_search_ranks", f"""WITH {_BM25}, {_KEYS}, fk AS (SELECT video_idx AS q, min(vector_row) AS doc FROM keyframe_meta WHERE video_idx % 100 = 0 GROUP BY 1), ak AS (SELECT q, e FROM fk JOIN nk USING (doc)),
+ sk AS (SELECT q, doc, round(CAST(list_dot_product(ak.e, nk.e) AS FLOAT), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(ak.e, nk.e) DESC, doc) AS rank FROM ak, nk), vk AS (SELECT q, video_idx AS doc, max(score) AS score FROM sk JOIN mk USING (doc) WHERE rank <= 300 GROUP BY 1, 2),
+ dk AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM vk), al AS (SELECT q, doc, rank, 0 AS src FROM lex WHERE rank <= 100 UNION ALL SELECT q, doc, rank, 1 FROM dk WHERE rank <= 100),
+ f AS (SELECT q, doc, round(sum(1.0 / (60 + rank)), 12) AS score, min((src, rank)) AS seen FROM al GROUP BY q, doc), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen) AS rank FROM f)
+ SELECT q, doc, CAST(rank AS INT) AS rank, rnd(score, 8) AS score, CASE WHEN title = '' OR title IS NULL THEN concat('Untitled (', video_id, ')') ELSE title END AS title FROM o JOIN videos ON video_idx = doc WHERE rank <= 10""")(
+    lambda s, d: hybrid_search(s, d).select("q", "doc", "rank", rnd("score", 8).alias("score"), "title")
+)
+
 QUERIES, SQL = q.queries, q.sql

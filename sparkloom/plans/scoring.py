@@ -1,12 +1,13 @@
 """Grading, reward, conversation and micro-batch queries."""
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from sparkloom.common import table
 from sparkloom.functions import grading as G
 from sparkloom.operators import batches as B
-from sparkloom.operators import losses as L
 from sparkloom.operators import microbatches as M
 from sparkloom.operators import scoring as S
 from sparkloom.plans.base import TOK, Book, rnd, tokens
@@ -25,8 +26,29 @@ q("grade_minerva", "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders")(
 q("grade_strict_box", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END AS score FROM orders")(
     lambda s, d: _orders(s, d).select("o_orderkey", G.strict_box(F.concat(F.lit("so \\boxed{"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).otherwise(-1).cast("string"), F.lit("}.")), F.col("o_custkey").cast("string")).alias("score"))
 )
-q("grade_math", "SELECT o_orderkey, 1.0 AS score FROM orders")(
-    lambda s, d: _orders(s, d).select("o_orderkey", G.math_score(F.concat(F.lit("\\boxed{\\dfrac{"), F.col("o_custkey").cast("string"), F.lit("}{7}}")), F.concat(F.col("o_custkey").cast("string"), F.lit("/7"))).alias("score"))
+#: Answers in six notations, by the order's key, and truths that some of them miss.
+_CASES = ["\\dfrac{@a@}{7}", "\\frac{@b@}{14}", "@a@\\div 7", "x=@a@/7", "\\left(\\frac{@a@}7\\right)", "\\sqrt{\\frac{@c@}{49}}"]
+
+
+def _math_cases(s, d):
+    n, a = F.col("o_orderkey") % 6, F.col("o_custkey") + F.col("o_orderkey") % 2
+    fill = {"a": a, "b": a * 2, "c": a * a}
+    text = None
+    for i, form in enumerate(_CASES):
+        parts = [F.lit(x) if j % 2 == 0 else fill[x].cast("string") for j, x in enumerate(re.split(r"@([abc])@", form))]
+        one = F.concat(*parts)
+        text = F.when(n == i, one) if text is None else text.when(n == i, one)
+    return _orders(s, d).select("o_orderkey", text.alias("given"), F.concat(F.col("o_custkey").cast("string"), F.lit("/7")).alias("truth"))
+
+
+q("grade_math", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM orders")(
+    lambda s, d: _math_cases(s, d).select("o_orderkey", G.math_score(F.concat(F.lit("so \\boxed{0}, no: \\boxed{"), "given", F.lit("}.")), F.col("truth")).alias("score"))
+)
+q("grade_tuples", "SELECT o_orderkey, o_orderkey % 3 = 0 AS same FROM orders")(
+    lambda s, d: _orders(s, d).select("o_orderkey", G.answer_equal(F.concat(F.when(F.col("o_orderkey") % 3 == 1, "[").otherwise("("), (F.col("o_custkey") * 2).cast("string"), F.lit("/2, "), F.when(F.col("o_orderkey") % 3 == 2, "x").otherwise("x+0"), F.when(F.col("o_orderkey") % 3 == 2, "]").otherwise(")")), F.concat(F.lit("("), F.col("o_custkey").cast("string"), F.lit(",x)"))).alias("same"))
+)
+q("grade_expressions", "SELECT o_orderkey, o_orderkey % 2 = 0 AS same FROM orders")(
+    lambda s, d: _orders(s, d).select("o_orderkey", G.numeric_equal(F.concat(F.lit("(x+"), F.col("o_custkey").cast("string"), F.lit(")^2")), F.concat(F.lit("x^2+"), (F.col("o_custkey") * 2).cast("string"), F.lit("x+"), (F.col("o_custkey") * F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string"))).alias("same"))
 )
 q("grade_numeric", "SELECT o_orderkey, abs(o_totalprice * 1.00005 - o_totalprice) <= 1e-4 * o_totalprice AS near, o_custkey = o_custkey + o_orderkey % 2 * o_custkey AS same FROM orders")(
     lambda s, d: _orders(s, d).select("o_orderkey", G.numeric_equal((F.col("o_totalprice") * 1.00005).cast("string"), F.col("o_totalprice").cast("string")).alias("near"), G.numeric_equal(F.concat((F.col("o_custkey") * 3).cast("string"), F.lit("/3")), (F.col("o_custkey") + F.col("o_orderkey") % 2 * F.col("o_custkey")).cast("string")).alias("same"))
@@ -39,12 +61,21 @@ q("grade_geometry", "SELECT o_orderkey, CAST(CASE WHEN o_custkey % 2 = 0 THEN 1.
         "o_orderkey", rnd(0.9 * G.math_score(F.col("a"), F.col("o_custkey").cast("string")) + 0.1 * F.col("a").rlike(r"(?s)<think>.*</think>.*\\boxed\{.*\}").cast("double"), 6).alias("score")
     )
 )
-q("reward_tool_calls", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 3.0 ELSE -3.0 + 6.0 * 2.0 / 3.0 END AS score FROM events")(
-    lambda s, d: S.score_batches(
-        table(s, d, "events").select("event_id", F.format_string('[{"name": "%s", "parameters": {"k": %d}}]', "event_type", "user_id").alias("truth"), F.format_string('[{"name": "%s", "parameters": {"k": %d}}]', "event_type", F.col("user_id") + F.col("event_id") % 2).alias("said")),
-        "event_id", ["truth", "said"], S.from_json_calls,
-    )
-)
+q("reward_tool_calls", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 3.0 WHEN 1 THEN -3.0 + 6.0 * 2.0 / 3.0 WHEN 2 THEN -3.0 + 6.0 * 0.5 / 3.0 + 6.0 * 2.0 / 3.0 ELSE -3.0 END AS score FROM events")(lambda s, d: _tool_rewards(s, d))
+
+
+def _tool_rewards(s, d):
+    """The call itself; another value; the call behind one of another name; what is no call."""
+    e = table(s, d, "events")
+    call = lambda name, k: F.concat(F.lit('{"name": "'), name, F.lit('", "parameters": {"k": '), k.cast("string"), F.lit("}}"))
+    right, other = call(F.col("event_type"), F.col("user_id")), call(F.col("event_type"), F.col("user_id") + 1)
+    n = F.col("event_id") % 4
+    said = F.when(n == 0, right).when(n == 1, other).when(n == 2, F.concat(call(F.lit("none"), F.lit(1)), F.lit(", "), right))
+    read = lambda c: F.from_json(c, S.CALLS)
+    e = e.select("event_id", read(F.concat(F.lit("["), right, F.lit("]"))).alias("truth"), F.when(n == 3, read(F.lit("[not json"))).otherwise(read(F.concat(F.lit("["), said, F.lit("]")))).alias("said"))
+    return e.select("event_id", S.tool_call_reward(F.col("truth"), F.col("said")).alias("score"))
+
+
 q("reward_failures_count_zero", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE CAST(user_id AS DOUBLE) END AS score FROM events")(
     lambda s, d: S.score_batches(table(s, d, "events").withColumn("x", F.when(F.col("event_id") % 4 == 0, "bad").otherwise(F.col("user_id").cast("string"))), "event_id", ["x"], lambda x: (int(x), "extra"))
 )
@@ -108,34 +139,58 @@ def _upsample(spark, d, multiple: int = 64):
 # --- Micro-batches ---
 _LEN = "(o_orderkey * 7919) % 1900 + 10"
 q("micro_batches")(lambda s, d: M.assign(_orders(s, d).select(F.floor(F.col("o_orderkey") / 256).alias("b"), "o_orderkey", F.expr(_LEN).alias("n")), "b", "o_orderkey", "n", 8192))
-q("micro_batches_fit", "SELECT count(*) AS rows, 0 AS over FROM orders")(
+q("micro_batches_fit", f"SELECT CAST(floor(o_orderkey / 256) AS BIGINT) AS batch, count(*) AS placed, 0 AS over, true AS few FROM orders GROUP BY 1")(
     lambda s, d: _fit(s, d)
 )
 
 
 def _fit(spark, d):
-    """All rows are placed once; micro-batches are counted against twice the budget, which balancing keeps."""
+    """All rows are placed once, no micro-batch is over the budget, and there are at most two more than the tokens need."""
     o = _orders(spark, d).select(F.floor(F.col("o_orderkey") / 256).alias("batch"), F.col("o_orderkey").alias("key"), F.expr(_LEN).alias("n"))
-    m = M.assign(o, "batch", "key", "n", 8192).join(o, ["batch", "key"]).groupBy("batch", "micro_batch").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    return m.agg(F.sum("rows").alias("rows"), F.count_if(F.col("n") > 2 * 8192).cast("int").alias("over"))
+    m = M.assign(o, "batch", "key", "n", 8192).join(o, ["batch", "key"]).groupBy("batch", "micro_batch").agg(F.count("*").alias("placed"), F.sum("n").alias("n"))
+    return m.groupBy("batch").agg(F.sum("placed").alias("placed"), F.count_if(F.col("n") > 8192).cast("int").alias("over"), (F.count("*") <= F.ceil(F.sum("n") / 8192) + 2).alias("few"))
+
+
+q("balance_greedy", f"""WITH RECURSIVE o AS (SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS batch, o_orderkey AS key, {_LEN} AS n, row_number() OVER (PARTITION BY floor(o_orderkey / 128) ORDER BY o_orderkey) AS k FROM orders),
+ r AS (SELECT batch, key, k, CAST(1 AS INT) AS slot, [n, 0, 0, 0] AS sums FROM o WHERE k = 1
+ UNION ALL SELECT o.batch, o.key, o.k, list_position(r.sums, list_min(r.sums)), list_transform(r.sums, lambda x, i: x + CASE WHEN i = list_position(r.sums, list_min(r.sums)) THEN o.n ELSE 0 END) FROM r JOIN o ON o.batch = r.batch AND o.k = r.k + 1)
+ SELECT batch, key, CAST(slot - 1 AS INT) AS rank, CAST(row_number() OVER (PARTITION BY batch, slot ORDER BY key) - 1 AS INT) AS place FROM r""")(
+    lambda s, d: M.greedy_assign(_orders(s, d).withColumn("b", F.floor(F.col("o_orderkey") / 128)).withColumn("n", F.expr(_LEN)), "b", "o_orderkey", "n", 4)
+)
+q("balance_ranks", "SELECT b AS batch, 4 AS ranks, 8 AS least, 8 AS most, true AS hills FROM (SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 32) AS BIGINT) AS b FROM orders) GROUP BY 1 HAVING count(*) = 32")(lambda s, d: _ranks(s, d))
+
+
+def _ranks(spark, d):
+    """Whole batches of 32: four ranks of eight rows, whose loads rise and fall once."""
+    o = B.with_positions(_orders(spark, d).select("o_orderkey", F.expr(_LEN).alias("n")), "o_orderkey", name="at").withColumn("b", F.floor(F.col("at") / 32))
+    whole = o.groupBy("b").count().where("count = 32").select("b")
+    r = M.balance_ranks(o.join(whole, "b", "left_semi"), "b", "o_orderkey", "n", 4).join(o.select(F.col("o_orderkey").alias("key"), "n"), "key")
+    loads = r.groupBy("batch", "rank").agg(F.count("*").alias("rows"), F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("l"))
+    top = F.array_position("l", F.array_max("l")).cast("int")
+    hill = (F.slice("l", F.lit(1), top) == F.array_sort(F.slice("l", F.lit(1), top))) & (F.slice("l", top, F.size("l")) == F.sort_array(F.slice("l", top, F.size("l")), asc=False))
+    return loads.groupBy("batch").agg(F.count("*").cast("int").alias("ranks"), F.min("rows").cast("int").alias("least"), F.max("rows").cast("int").alias("most"), F.every(hill).alias("hills"))
+
+
+q("batch_required_multiple", "SELECT lcm(lcm(6, 4), 9) AS multiple, CAST(ceil(count(*) / 36.0) * 36 AS BIGINT) AS padded FROM orders")(
+    lambda s, d: _orders(s, d).agg(F.lit(M.required_multiple([6, 4, 9])).cast("bigint").alias("multiple"), (F.ceil(F.count("*") / M.required_multiple([6, 4, 9])) * M.required_multiple([6, 4, 9])).cast("bigint").alias("padded"))
+)
+q("balance_groups")(lambda s, d: _grouped(s, d))
+q("balance_group_members", f"WITH g AS (SELECT o_custkey % 16 AS batch, o_custkey AS uid, sum(24576 * ({_LEN}) + ({_LEN}) * ({_LEN})) AS load FROM orders GROUP BY 1, 2) SELECT batch, count(*) AS uids, least(8, count(*)) AS parts, sum(load) AS load, true AS even FROM g GROUP BY 1")(lambda s, d: _grouped_fit(s, d))
+
 
+def _grouped(s, d):
+    return M.group_balanced(_orders(s, d).withColumn("b", F.col("o_custkey") % 16).withColumn("n", F.expr(_LEN)), "b", "o_custkey", "n", 8)
 
-q("balance_groups")(lambda s, d: M.group_balanced(_orders(s, d).withColumn("b", F.col("o_custkey") % 16).withColumn("n", F.expr(_LEN)), "b", "o_custkey", "n", 8))
-q("balance_group_members", "SELECT o_custkey % 16 AS batch, o_custkey AS uid FROM orders GROUP BY 1, 2")(lambda s, d: M.group_balanced(_orders(s, d).withColumn("b", F.col("o_custkey") % 16).withColumn("n", F.expr(_LEN)), "b", "o_custkey", "n", 8).select("batch", "uid"))
 
-# --- Losses with seeded draws, statistics of rejection ---
+def _grouped_fit(s, d):
+    """Each uid in one partition, every partition used, no two loads further apart than the heaviest uid."""
+    n = F.expr(_LEN)
+    loads = _orders(s, d).groupBy(F.col("o_custkey").alias("uid")).agg(F.sum(24576 * n + n * n).alias("load"))
+    parts = _grouped(s, d).join(loads, "uid").groupBy("batch", "partition").agg(F.count("*").alias("uids"), F.sum("load").alias("load"), F.max("load").alias("most"))
+    return parts.groupBy("batch").agg(F.sum("uids").alias("uids"), F.count("*").alias("parts"), F.sum("load").alias("load"), (F.max("load") - F.min("load") <= F.max("most")).alias("even"))
 
 
-@q("loss_clip_cov")
-def loss_clip_cov(spark, d):
-    """A seeded share of the tokens within a band of the covariance is taken out of the clipped loss."""
-    t = tokens(spark, d)
-    stats = t.where("mask = 1").agg(F.avg("adv").alias("ma"), F.avg("logp").alias("ml"))
-    cov = (F.col("adv") - F.col("ma")) * (F.col("logp") - F.col("ml"))
-    draw = F.pmod(F.xxhash64("seq", "pos", F.lit(3)), F.lit(10000)) < 2
-    out = t.crossJoin(F.broadcast(stats)).withColumn("off", cov.between(1.0, 5.0) & draw)
-    frame, x = L.vanilla(out)
-    return L.aggregate_loss(frame, F.when(F.col("off"), 0.0).otherwise(x)).select(rnd("loss", 5).alias("loss"))
+# --- Statistics of rejection ---
 
 
 q("offpolicy_rejection_metrics", f"""WITH {TOK}, s AS (SELECT seq, sum((logp - old_logp) * mask) / (sum(mask) + 1e-8) AS x, sum(mask) AS n FROM tok GROUP BY seq) SELECT rnd(avg(x), 6) AS mean, rnd(min(x), 6) AS min, rnd(max(x), 6) AS max, rnd(stddev_samp(x), 6) AS std,

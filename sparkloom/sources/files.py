@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from sparkloom.functions.draws import drawn
 from pyspark.sql.types import StructType
 
 
@@ -45,7 +47,7 @@ def capped(parts: list[DataFrame], most: int, order: str) -> DataFrame:
 
 def sampled(df: DataFrame, key: str, most: int, seed: int | None = None) -> DataFrame:
     """The first ``most`` rows by key, or, with a seed, a reproducible sample without replacement."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)) if seed is not None else F.col(key), key).limit(most)
+    return df.orderBy(drawn(key, seed) if seed is not None else F.col(key), key).limit(most)
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -112,12 +112,44 @@ def test_dense_search_edges(spark):
     assert R.dense(v.where("id < 0"), "id", "v", asked, 5).count() == 0
 
 
-def test_perturbed_results_come_from_hits(spark):
-    hits = spark.createDataFrame([(q, d, f"t{d}", d + 1) for q in range(30) for d in range(50)], "q bigint, doc bigint, title string, rank int")
-    gold = spark.createDataFrame([(q, 0) for q in range(30)], "q bigint, doc bigint")
-    from sparkloom.plans.retrieval import MEDIUM
-
-    a = R.perturb(hits, gold, MEDIUM, 10, seed=1).collect()
-    assert sorted(a) == sorted(R.perturb(hits, gold, MEDIUM, 10, seed=1).collect())
-    assert all(0 <= r["doc"] < 50 and r["title"].lower() == f"t{r['doc']}" for r in a)
-    assert all(r["rank"] <= 12 for r in a)
+def test_perturbed_lists_keep_to_their_hits(spark):
+    """Thirty draws over a pool of fifty: a subset of the hits, no url twice, the hits untouched but for title and snippet."""
+    from sparkloom.operators import retrieval as R
+
+    rows = [(q, i, f"u{i % 45}", f"Title {i}.", f"snippet of some words number {i} " * 3) for q in range(30) for i in range(50)]
+    hits = spark.createDataFrame([(q, i + 1, u, t, s) for q, i, u, t, s in rows], "q bigint, rank int, url string, title string, snippet string")
+    gold = spark.createDataFrame([(q, "u0") for q in range(30)], "q bigint, url string")
+    for tier in R.TIERS:
+        lists, metrics = R.perturb(hits, gold, 10, 3, probs={tier: 1.0})
+        got, m = lists.collect(), {r["q"]: r for r in metrics.collect()}
+        assert {r["tier"] for r in m.values()} == {tier} and len(m) == 30
+        for q in range(30):
+            mine = sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])
+            assert len(mine) == m[q]["displayed"] <= m[q]["k"] and len({r["url"] for r in mine}) == len(mine)
+            assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and {r["url"] for r in mine} <= {f"u{i}" for i in range(45)}
+            assert [r["rank"] - 1 for r in mine if r["gold"]] == m[q]["gold_ranks"]
+            if m[q]["action"] == "drop" or m[q]["empty"]:
+                assert not m[q]["gold_ranks"]
+        if tier == "easy":  # untouched but for a place more or less of gold
+            assert all(r["title"].startswith("Title") and len(r["title"]) < 12 for r in got) and all(len(m[q]["gold_ranks"]) and m[q]["gold_ranks"][0] <= 1 for q in m)
+        if tier == "hard":
+            assert len({r["title"] for r in got if not r["title"].startswith("Title")}) > 10 and any(m[q]["injected"] >= 4 for q in m)
+    assert R.perturb(hits.where("q > 99"), gold, 10)[0].count() == 0
+
+
+def test_resampling_is_exact_in_number_and_close_in_share(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 0.0), (3, None), (4, -1.0), (5, 15.0)], "k bigint, w double")
+    got = [r["key"] for r in B.resample(df, "k", "w", 4000, 1).collect()]
+    assert len(got) == 4000 and set(got) == {1, 5} and abs(got.count(5) / 4000 - 0.75) < 0.03
+    assert B.resample(df.where("k = 2"), "k", "w", 10, 1).count() == 0 and B.resample(df.where("k > 9"), "k", "w", 10, 1).count() == 0
+
+
+def test_long_sequences_scan_in_one_pass(spark):
+    from sparkloom.operators import advantage as A
+
+    rows = [(1, i, 1.0, 0.5, 1) for i in range(20000)] + [(2, 0, 2.0, 0.5, 0), (2, 1, 3.0, 0.25, 1)]
+    t = spark.createDataFrame(rows, "seq bigint, pos int, reward double, val double, mask int")
+    got = {(r["seq"], r["pos"]): r["return"] for r in A.discounted_returns(t, 0.5).collect()}
+    assert len(got) == 20002 and got[1, 0] == pytest.approx(2.0) and got[2, 1] == 3.0 and got[2, 0] == pytest.approx(3.5)
+    assert A.gae(t.where("seq > 9"), 0.9, 0.9).count() == 0
+    assert {"gae", "remax", "gdpo", "reinforce_plus_plus", "optimal_token_baseline"} <= set(A.ESTIMATORS)

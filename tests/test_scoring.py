@@ -12,12 +12,12 @@ def _one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("\\dfrac12", "\\frac{1}{2}", True), ("0.5", "1/2", True), ("\\left( 3 \\right)", "(3)", True), ("x=7", "7", True), ("50^\\circ", "50", True), ("\\sqrt3", "\\sqrt{3}", True), ("3", "4", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [("\\dfrac12", "\\frac{1}{2}", True), ("0.5", "1/2", True), ("\\left( 3 \\right)", "(3)", True), ("x=7", "7", True), ("50^\\circ", "50", True), ("\\sqrt3", "\\sqrt{3}", True), ("3", "4", False), ("(x+1)^2", "x^2+2x+1", True), ("\\sqrt{8}", "2\\sqrt2", True), ("(1,2]", "(1,2)", False), ("\\{1,2\\}", "\\{2,1\\}", True), ("1,2", "2,1", False), ("\\frac{x^2-1}{x-1}", "x+1", True), ("east", "seat", False), ("\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", "\\begin{pmatrix}1 & 2\\\\ 3 & \\frac82\\end{pmatrix}", True), ("", "", True), ("(((((", "(((((", True), ("x^{99999}", "x^{99999}", True), ("1/0", "1/0", True)])
 def test_tex_notations(spark, a, b, same):
     assert _one(spark, G.tex_equal(F.lit(a), F.lit(b))) is same
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("1,000", "1000", True), ("50%", "0.5", True), ("2/4", "0.5", True), ("\\frac{1}{3}", "0.33333", True), ("1", "2", False), ("abc", "abc", True), ("abc", "abd", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [("1,000", "1000", True), ("50%", "0.5", True), ("2/4", "0.5", True), ("\\frac{1}{3}", "0.33333", True), ("1", "2", False), ("abc", "abc", True), ("abc", "abd", False), ("3.1416", "\\pi", True), ("(0.33333, 2)", "(1/3, 2)", True)])
 def test_numbers(spark, a, b, same):
     assert _one(spark, G.numeric_equal(F.lit(a), F.lit(b))) is same
 
@@ -28,11 +28,37 @@ def test_boxes_and_final_answers(spark):
     assert _one(spark, G.final_answer(F.lit("the total = \\$ 1,234 dollars"))) == "1234"
 
 
-def test_tool_call_reward():
-    a = [{"name": "f", "parameters": {"x": 1, "y": 2}}]
-    assert S.tool_call_reward(a, a) == 3.0
-    assert S.tool_call_reward(a, []) == -3.0
-    assert S.tool_call_reward(a, [{"name": "f", "parameters": {"x": 1, "y": 3}}]) == pytest.approx(6 * 3 / 4 - 3)
+def _reward(spark, truth, said):
+    read = lambda t: F.from_json(F.lit(t), S.CALLS)
+    return _one(spark, S.tool_call_reward(read(truth), read(said)))
+
+
+def test_tool_call_reward(spark):
+    a = '[{"name": "f", "parameters": {"x": 1, "y": [2, 3]}}]'
+    assert _reward(spark, a, a) == 3.0
+    assert _reward(spark, a, "[]") == -3.0 and _reward(spark, a, "broken") == -3.0
+    assert _reward(spark, a, '[{"name": "f", "parameters": {"x": 1, "y": 3}}]') == pytest.approx(6 * 3 / 4 - 3)
+    two = '[{"name": "f", "parameters": {"x": 1}}, {"name": "f", "parameters": {"x": 2}}]'
+    # Each call is used once: the first of the wanted ones takes the one that fits it best.
+    assert _reward(spark, two, '[{"name": "f", "parameters": {"x": 2}}, {"name": "f", "parameters": {"x": 1}}]') == 3.0
+    assert _reward(spark, two, '[{"name": "f", "parameters": {"x": 2}}]') == pytest.approx(6 * (0.5 + 1) / 5 - 3)
+
+
+def test_overlong_scorers_and_managers(spark):
+    def slow(v):
+        while v == "loop":
+            pass
+        return len(v)
+
+    df = spark.createDataFrame([(1, "ab", 0.5, 10), (2, "loop", None, 100)], "k bigint, v string, s double, n bigint")
+    out = S.rewards(df, "batch", key="k", columns=["v"], score=slow, seconds=0.5)
+    assert {r["k"]: r["reward"] for r in out.collect()} == {1: 2.0, 2: 0.0}
+    out = S.rewards(df, "overlong", score=F.col("s"), length="n", limit=60, buffer=20)
+    assert {r["k"]: r["reward"] for r in out.collect()} == {1: 0.5, 2: -3.0}
+    out = S.rewards(df, "components", weights={"s": 2.0, "n": 0.1})
+    assert {r["k"]: r["reward"] for r in out.collect()} == {1: 2.0, 2: 10.0}
+    with pytest.raises(ValueError):
+        S.rewards(df, "none")
 
 
 def test_scores_survive_failures_and_custom_files(spark, tmp_path):
