@@ -253,3 +253,68 @@ def xml_calls(x: Column) -> Column:
         return F.map_from_arrays(names, F.transform(values, lambda v: F.trim(v, F.lit("\n"))))
 
     return F.transform(bodies, lambda b: F.struct(F.substring_index(b, ">", 1).alias("name"), parameters(b).alias("parameters")))
+
+
+# --- Rendering of nested values ---
+def flattened(df, sep: str = "/") -> list[Column]:
+    """A column for every field of a frame, structs taken apart to any depth, named by its path; arrays and maps stay whole."""
+    from pyspark.sql.types import StructType
+
+    out: list[Column] = []
+
+    def walk(column: Column, name: str, kind) -> None:
+        if isinstance(kind, StructType) and kind.fields:
+            for f in kind.fields:
+                walk(column.getField(f.name), f"{name}{sep}{f.name}", f.dataType)
+        else:
+            out.append(column.alias(name))
+
+    for f in df.schema.fields:
+        walk(F.col(f"`{f.name}`"), f.name, f.dataType)
+    return out
+
+
+def trace_block(events: Column, most: int = 6, results: int = 3, chars: int = 200, total: Column | None = None) -> Column:
+    """The first ``most`` events of a search trace as text: array<struct<kind, query, url, goal, ok, content, results
+    array<struct<title, url, snippet>>>>. A search shows its first ``results`` hits with the head of their snippets. ``total``: how many
+    events there are, where the array holds the first ones only."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+
+    def hit(r: Column) -> Column:
+        snippet = F.regexp_replace(F.trim(none(r["snippet"])), "\n", " ")
+        return F.concat(F.lit("\n    • "), none(r["title"]), F.lit(" — "), none(r["url"]), F.when(snippet == "", "").otherwise(F.concat(F.lit("\n      "), F.substring(snippet, 1, chars))))
+
+    def line(e: Column) -> Column:
+        hits = F.coalesce(e["results"], F.array().cast("array<struct<title:string,url:string,snippet:string>>"))
+        search = F.concat(F.lit("- search('"), none(e["query"]), F.lit("') → "), F.size(hits).cast("string"), F.lit(" results"), F.array_join(F.transform(F.slice(hits, 1, results), hit), ""))
+        visit = F.concat(F.lit("- visit "), none(e["url"]), F.lit(" goal='"), none(e["goal"]), F.lit("' ok="), F.when(e["ok"], "True").otherwise("False"))
+        kind = F.coalesce(e["kind"], F.lit("?"))
+        final = F.concat(F.lit("- final_answer: "), F.substring(none(e["content"]), 1, chars))
+        named = F.when(kind == "malformed", "- malformed turn").when(kind == "empty_llm", "- empty LLM reply").otherwise(F.concat(F.lit("- "), kind))
+        return F.when(kind == "search", search).when(kind == "visit", visit).when(kind == "final_answer", final).otherwise(named)
+
+    left = (F.size(events) if total is None else total) - most
+    rest = F.when(left > 0, F.concat(F.lit("\n... ("), left.cast("string"), F.lit(" more events omitted)"))).otherwise("")
+    return F.when(F.size(F.coalesce(events, F.array())) == 0, "(empty trace)").otherwise(F.concat(F.array_join(F.transform(F.slice(events, 1, most), line), "\n"), rest))
+
+
+def chain_block(hops: Column, frames: bool = True, most: int = 12) -> Column:
+    """A chain of entities as text, a block for each: array<struct<name, depth, category, title, url, channel, duration, summary, properties
+    array<string>, frames array<struct<timestamp, caption>>, next, reason>>; at most ``most`` captions a hop."""
+
+    def lines(c: Column, head: str, each) -> Column:
+        return F.when(F.size(c) > 0, F.concat(F.lit(f"\n{head}"), F.array_join(F.transform(c, each), ""))).otherwise("")
+
+    def block(e: Column, i: Column) -> Column:
+        text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+        head = F.concat(F.lit("=== Hop "), i.cast("string"), F.lit(" · Entity: "), e["name"], F.lit(" (depth="), text(e["depth"]), F.lit(", category="), F.coalesce(F.nullif(e["category"], F.lit("")), F.lit("-")), F.lit(") ==="))
+        video = F.when(e["url"].isNotNull(), F.concat(F.lit("\nLinked video: title='"), text(e["title"]), F.lit("', url="), e["url"], F.lit(", channel="), text(e["channel"]), F.lit(", duration="), text(e["duration"]), F.lit("s"))).otherwise("")
+        summary = F.when(F.coalesce(e["summary"], F.lit("")) != "", F.concat(F.lit("\nVideo synthesised description:\n"), e["summary"])).otherwise("")
+        facts = lines(e["properties"], "Background properties (text-verified facts; safe to use as indirect descriptors):", lambda p: F.concat(F.lit("\n  • "), p))
+        shown = lines(F.slice(e["frames"], 1, most), "Per-frame captions (subset):", lambda f: F.concat(F.format_string("\n  • t=%.2fs — ", f["timestamp"]), f["caption"])) if frames else F.lit("")
+        left = F.size(e["frames"]) - most
+        more = F.when(left > 0, F.concat(F.lit("\n  ...("), left.cast("string"), F.lit(" more frames omitted)"))).otherwise("") if frames else F.lit("")
+        onward = F.when(F.coalesce(e["next"], F.lit("")) != "", F.concat(F.lit("\n→ next entity picked: "), e["next"], F.lit(" (reason: "), F.coalesce(e["reason"], F.lit("")), F.lit(")"))).otherwise("")
+        return F.concat(head, video, summary, facts, shown, more, onward)
+
+    return F.array_join(F.transform(hops, block), "\n\n")

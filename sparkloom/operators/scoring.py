@@ -186,3 +186,24 @@ def media_parts(text: Column) -> Column:
     """Text split at <image> and <video>, the marks kept as parts: array<struct<type, value>>."""
     parts = F.filter(F.split(text, r"(?=<image>|<video>)|(?<=<image>|<video>)"), lambda p: p != "")
     return F.transform(parts, lambda p: F.struct(F.when(p.isin("<image>", "<video>"), F.substring(p, 2, 5)).otherwise("text").alias("type"), p.alias("value")))
+
+
+def export_cases(df: DataFrame, key: str, messages: str, metadata: str, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training samples of conversations under ``root``, read back: samples (case_id, sample), metadata (case_id, metadata) and images.
+
+    A sample is one JSON line of messages in the training roles, with images taken out as files ``images/<case>/<message>_<image>`` that it
+    names, and <image> in their place. A case id is the key's text with other marks than letters, digits, dots and dashes replaced, 120 characters at most.
+    Samples with another number of tags than images are marked, not left out.
+    """
+    case = F.substring(F.regexp_replace(F.regexp_replace(F.col(key).cast("string"), r"[^\w\-.]", "_"), "^_+|_+$", ""), 1, 120)
+    uri = r"data:image/[a-z]+;base64,[A-Za-z0-9+/=]+"
+    t = df.select(F.col(key), case.alias("case_id"), F.col(messages).alias("m"), F.col(metadata).alias("metadata"))
+    plain = F.transform(exchange_roles(F.col("m")), lambda x: F.struct(x["role"].alias("role"), F.regexp_replace(x["content"], uri, "<image>").alias("content")))
+    names = F.flatten(F.transform("m", lambda x, i: F.transform(F.regexp_extract_all(F.coalesce(x["content"], F.lit("")), F.lit(uri), F.lit(0)), lambda _, j: F.concat(F.lit("images/"), F.col("case_id"), F.lit("/"), i.cast("string"), F.lit("_"), j.cast("string")))))
+    t = t.withColumn("plain", plain).withColumn("images", names)
+    t.select("case_id", F.to_json(F.struct(F.col("plain").alias("messages"), "images")).alias("sample"), image_tags_match(F.col("plain"), F.col("images")).alias("tags_match")).write.mode("overwrite").json(f"{root}/all")
+    t.select("case_id", F.to_json("metadata").alias("metadata")).write.mode("overwrite").json(f"{root}/metadata")
+    pics = external_images(t.select("case_id", "m"), "case_id", "m")
+    pics.write.mode("overwrite").parquet(f"{root}/images")
+    spark = df.sparkSession
+    return spark.read.schema("case_id string, sample string, tags_match boolean").json(f"{root}/all"), spark.read.schema("case_id string, metadata string").json(f"{root}/metadata"), spark.read.parquet(f"{root}/images")

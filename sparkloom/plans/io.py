@@ -2,15 +2,15 @@
 
 import uuid
 
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.common import shared_dir, table
-from sparkloom.operators.batches import with_positions
 from sparkloom.functions.draws import chosen
 from sparkloom.functions.draws import uniform as draw
-from sparkloom.plans.base import drawn, uniform, ROLL, Book, rnd, rollouts
-from sparkloom.sources import files, shards
+from sparkloom.operators.batches import with_positions
+from sparkloom.plans.base import Book, drawn, rnd, uniform
+from sparkloom.sources import commits, files, shards
 from sparkloom.streaming import queues
 
 q = Book()
@@ -117,15 +117,53 @@ def shard_read_ranges(spark, d):
     return shards.read_ranges(shards.write(_payloads(spark, d), "video_idx", "payload", root, 64, "pos"), root).select("key", F.col("payload").cast("string").alias("payload"))
 
 
+@q("shard_headers", f"WITH {_LAY} SELECT CAST(video_idx AS VARCHAR) AS key, shard_no, CAST({_OFFSET} AS BIGINT) AS offset, length FROM s")
+def shard_headers(spark, d):
+    """The index made anew from the headers of the files."""
+    root = _tmp(spark)
+    shards.write(_payloads(spark, d), "video_idx", "payload", root, 64, "pos")
+    return shards.scan(spark, root)
+
+
+_BATCHES = "b AS (SELECT batch_id, record_id, fake_url, local_path, row_number() OVER (PARTITION BY batch_id ORDER BY record_id) - 1 AS no FROM batch_records WHERE batch_id < 3), sz AS (SELECT batch_id, count(*) AS n FROM b GROUP BY 1), sh AS (SELECT batch_id, coalesce(sum(n) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v FROM sz)"
+
+
+def _committed(spark, d):
+    """The first three batches written one by one, in any order, with a vector for every record."""
+    root = _tmp(spark)
+    numbers = F.row_number().over(Window.partitionBy("batch_id").orderBy("record_id")) - 1
+    r = table(spark, d, "batch_records").where("batch_id < 3").select("batch_id", "record_id", "fake_url", "local_path").withColumn("record_no", numbers)
+    for batch in (1, 0, 2):
+        mine = r.where(F.col("batch_id") == batch)
+        vectors = mine.select(F.col("record_no").alias("vector_row"), F.array(F.col("record_id").cast("float")).alias("embedding"))
+        meta = mine.select(F.col("record_no").alias("video_idx"), F.lit(1.0).alias("timestamp"), F.col("record_no").alias("vector_row"))
+        commits.commit_batch(root, batch, mine, vectors, meta)
+    return commits.load(spark, root)
+
+
+q("commit_load", f"WITH {_BATCHES} SELECT record_id, CAST(v + no AS BIGINT) AS video_idx FROM b JOIN sh USING (batch_id)")(lambda s, d: _committed(s, d)["videos"].select("record_id", "video_idx"))
+q("commit_vectors", f"WITH {_BATCHES} SELECT CAST(v + no AS BIGINT) AS video_idx, CAST(v + no AS BIGINT) AS vector_row, CAST(record_id AS FLOAT) AS first FROM b JOIN sh USING (batch_id)")(lambda s, d: _vectors(_committed(s, d)))
+q("commit_url_map", f"WITH {_BATCHES} SELECT fake_url, arg_max(local_path, v + no) AS local_path FROM b JOIN sh USING (batch_id) WHERE fake_url IS NOT NULL GROUP BY 1")(lambda s, d: _committed(s, d)["url_map"])
+
+
+def _vectors(corpus):
+    return corpus["keyframe_meta"].select("video_idx", "vector_row").join(corpus["embeddings"].select("vector_row", F.get("embedding", F.lit(0)).alias("first")), "vector_row").select("video_idx", "vector_row", "first")
+
+
 q("shard_index_last_run", "SELECT video_id, arg_max(video_idx, video_idx) AS video_idx FROM videos GROUP BY video_id")(lambda s, d: table(s, d, "videos").groupBy("video_id").agg(F.max("video_idx").alias("video_idx")))
 
 # --- Streams ---
 
 
 def _stream(spark, d):
-    """Events rewritten as several files, read as a stream."""
+    """Events rewritten as four files in the order of their time, read as a stream, a file at a time."""
     path = _tmp(spark)
-    table(spark, d, "events").repartitionByRange(4, "ts").write.parquet(path)
+    e = table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - (low or 0)) * 4 / ((high or 0) - (low or 0) + 1))
+    for i in range(4):
+        e.where(part == i).coalesce(1).write.mode("append").parquet(path)
     return queues.read_stream(spark, path, 1), path
 
 
@@ -138,12 +176,13 @@ def stream_tumbling_window(spark, d):
     return out.select("start", "event_type", "n", rnd("total", 3).alias("total"))
 
 
-@q("stream_watermark_window")
+@q("stream_watermark_window", "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, rnd(sum(value), 3) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
 def stream_watermark_window(spark, d):
     """Append mode: windows that the watermark has closed."""
     s, path = _stream(spark, d)
     w = queues.windowed(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"], "1 hour", "10 minutes")
-    return queues.run(w.select(F.col("window.start").alias("start"), "event_type", "n", "total"), path + "-out", path + "-ck")
+    out = queues.run(w.select(F.col("window.start").alias("start"), "event_type", "n", "total"), path + "-out", path + "-ck")
+    return out.select("start", "event_type", "n", rnd("total", 3).alias("total"))
 
 
 @q("stream_bounded_queue", "SELECT user_id, list_sort(list(event_id))[greatest(count(*) - 15, 1) :] AS items, count(*) AS taken, greatest(count(*) - 16, 0) AS dropped FROM events GROUP BY 1")

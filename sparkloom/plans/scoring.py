@@ -104,6 +104,21 @@ q("talk_media_parts", "SELECT event_id, CAST(unnest([0, 1, 2]) AS INT) AS at, un
 )
 q("talk_roles", "SELECT event_id, ['user', 'assistant', 'tool_call', 'tool_response'] AS roles FROM events")(lambda s, d: _talk(s, d).select("event_id", F.transform(S.exchange_roles(F.col("messages")), lambda m: m["role"]).alias("roles")))
 
+_CASE = "concat('case_', CAST(event_id AS VARCHAR), '_x')"
+q("sink_case_samples", f"""SELECT {_CASE} AS case_id, '{{"messages":[{{"role":"user","content":"look <image>"}},{{"role":"tool_response","content":"' || event_type || '"}}],"images":["images/case_' || CAST(event_id AS VARCHAR) || '_x/0_0"]}}' AS sample, true AS tags_match FROM events""")(lambda s, d: _exported(s, d)[0])
+q("sink_case_metadata", f"""SELECT {_CASE} AS case_id, '{{"user_id":' || CAST(user_id AS VARCHAR) || '}}' AS metadata FROM events""")(lambda s, d: _exported(s, d)[1])
+
+
+def _exported(s, d):
+    import uuid
+
+    from sparkloom.common import shared_dir
+
+    m = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    e = table(s, d, "events").select(F.concat(F.lit("case/"), F.col("event_id").cast("string"), F.lit(" x!")).alias("row"), F.array(m("user", F.lit("look data:image/png;base64,QUJD")), m("tool", F.col("event_type"))).alias("m"), F.struct("user_id").alias("meta"))
+    return S.export_cases(e, "row", "m", "meta", f"{shared_dir(s)}/cases-{uuid.uuid4().hex}")
+
+
 # --- Filters ---
 q("filter_long_prompts", "SELECT doc_id FROM documents WHERE coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+')), 201) <= 200")(
     lambda s, d: table(s, d, "documents").where(F.coalesce(F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))), F.lit(201)) <= 200).select("doc_id")

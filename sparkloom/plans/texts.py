@@ -30,9 +30,8 @@ def _solved(s, d):
     return _rl(s, d).withColumn("solution", F.concat(F.lit("Thinking. <answer> "), "question", F.lit(" </answer> so <answer>The "), "answer", F.lit("!</answer>")))
 
 
-q("text_tokenize", "SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS tokens FROM documents WHERE lang = 'en'")(lambda s, d: _docs(s, d).where("lang = 'en'").select("doc_id", T.tokens(F.col("text")).alias("tokens")))
-# All languages; no SQL, as lower() of letters outside ASCII differs between engines.
-q("text_tokenize_all")(lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens")))
+# Only letters that lower to ASCII count, and those lower alike in every engine.
+q("text_tokenize", "SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS tokens FROM documents")(lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens")))
 q("text_document", "SELECT video_idx, concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(subtitle, ''), nullif(array_to_string(tags, ' '), '')) AS body FROM videos")(
     lambda s, d: _videos(s, d).select("video_idx", T.document_text(F.col("title"), F.col("description"), F.col("subtitle"), F.array_join("tags", " ")).alias("body"))
 )
@@ -204,4 +203,50 @@ q("tool_xml_calls", "SELECT event_id, event_type AS name, user_id FROM events")(
     lambda s, d: table(s, d, "events").withColumn("t", F.concat(F.lit("<function="), "event_type", F.lit("><parameter=user>\n"), F.col("user_id").cast("string"), F.lit("\n</parameter></function>"))).select("event_id", F.explode(T.xml_calls(F.col("t"))).alias("c")).select("event_id", "c.name", F.col("c.parameters")["user"].try_cast("bigint").alias("user_id"))
 )
 
+# --- Nested values as text ---
+q("nested_flatten", """SELECT row_id, data_source, ability, reward_model.style AS "reward_model/style", reward_model.ground_truth.answer AS "reward_model/ground_truth/answer", reward_model.ground_truth.gold_urls AS "reward_model/ground_truth/gold_urls", reward_model.ground_truth.source AS "reward_model/ground_truth/source" FROM rl_rows""")(
+    lambda s, d: _flat(table(s, d, "rl_rows").select("row_id", "data_source", "ability", "reward_model"))
+)
+
+
+def _flat(df):
+    return df.select(*T.flattened(df))
+
+
+_EV = "event_id % 4 AS m, CAST(event_id AS VARCHAR) AS id"
+q("text_trace_block", f"""WITH e AS (SELECT user_id, event_type, {_EV}, event_id FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+ l AS (SELECT user_id, k, n, CASE m WHEN 0 THEN concat('- search(''', event_type, ''') → 4 results', repeat(concat(chr(10), '    • ', event_type, ' — u', id, chr(10), '      ', repeat('s ', 100)), 3)) WHEN 1 THEN concat('- visit u', id, ' goal=''', event_type, ''' ok=True') WHEN 2 THEN concat('- final_answer: ', repeat('x', 200)) ELSE concat('- ', event_type) END AS line FROM k WHERE k <= 6)
+ SELECT user_id, concat(string_agg(line, chr(10) ORDER BY k), CASE WHEN n > 6 THEN concat(chr(10), '... (', n - 6, ' more events omitted)') ELSE '' END) AS block FROM l GROUP BY user_id, n""")(lambda s, d: _traces(s, d))
+
+
+def _traces(s, d):
+    """Events of a user as a trace: searches with four long hits, visits, answers and others."""
+    m, name = F.col("event_id") % 4, F.col("event_type")
+    kind = F.when(m == 0, "search").when(m == 1, "visit").when(m == 2, "final_answer").otherwise(name)
+    url = F.concat(F.lit("u"), F.col("event_id").cast("string"))
+    hit = F.struct(name.alias("title"), url.alias("url"), F.repeat(F.lit("s "), F.lit(120)).alias("snippet"))
+    # Put together are the keys; the long texts are made for the events that are shown.
+    keys = table(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    first = keys.select("user_id", F.size("ids").alias("n"), F.explode(F.slice("ids", 1, 7)).alias("event_id")).join(table(s, d, "events").select("event_id", "event_type"), "event_id")
+    e = F.struct("event_id", kind.alias("kind"), name.alias("query"), url.alias("url"), name.alias("goal"), F.lit(True).alias("ok"), F.repeat(F.lit("x"), F.lit(300)).alias("content"), F.array_repeat(hit, 4).alias("results"))
+    t = first.groupBy("user_id", "n").agg(F.sort_array(F.collect_list(e)).alias("a"))
+    return t.select("user_id", T.trace_block(F.col("a"), total=F.col("n")).alias("block"))
+
+
+q("text_chain_block", """SELECT video_idx, concat('=== Hop 0 · Entity: ', coalesce(title, '?'), ' (depth=0, category=', coalesce(nullif(source_dataset, ''), '-'), ') ===', chr(10), 'Linked video: title=''', coalesce(title, '?'), ''', url=', fake_url, ', channel=None, duration=', CAST(CAST(floor(duration) AS BIGINT) AS VARCHAR), 's', chr(10),
+ 'Per-frame captions (subset):', chr(10), '  • t=0.50s — a', chr(10), '  ...(1 more frames omitted)', chr(10), '→ next entity picked: b (reason: c)', chr(10), chr(10), '=== Hop 1 · Entity: b (depth=1, category=-) ===', chr(10), 'Video synthesised description:', chr(10), 'sum', chr(10), 'Background properties (text-verified facts; safe to use as indirect descriptors):', chr(10), '  • p') AS block FROM videos WHERE fake_url IS NOT NULL AND duration IS NOT NULL""")(
+    lambda s, d: _chains(s, d)
+)
+
+
+def _chains(s, d):
+    kind = "struct<name:string,depth:int,category:string,title:string,url:string,channel:string,duration:bigint,summary:string,properties:array<string>,frames:array<struct<timestamp:double,caption:string>>,next:string,reason:string>"
+    title = F.coalesce("title", F.lit("?"))
+    pics = F.array(F.struct(F.lit(0.5).alias("timestamp"), F.lit("a").alias("caption")), F.struct(F.lit(1.5).alias("timestamp"), F.lit("b").alias("caption")))
+    none = F.lit(None).cast("string")
+    first = F.struct(title, F.lit(0), "source_dataset", title, "fake_url", none, F.floor("duration").cast("bigint"), none, F.array().cast("array<string>"), pics, F.lit("b"), F.lit("c")).cast(kind)
+    second = F.struct(F.lit("b"), F.lit(1), none, none, none, none, F.lit(None).cast("bigint"), F.lit("sum"), F.array(F.lit("p")), F.array().cast("array<struct<timestamp:double,caption:string>>"), none, none).cast(kind)
+    return table(s, d, "videos").where("fake_url is not null and duration is not null").select("video_idx", T.chain_block(F.array(first, second), most=1).alias("block"))
+
+
 QUERIES, SQL = q.queries, q.sql
