@@ -72,6 +72,7 @@ class Roster:
         self.family = {f: i for i, _, f in reversed(self.people) if f}
         self.full = {(g, f): i for i, g, f in reversed(self.people)}
         self.handle = {g[:1] + f: i for i, g, f in reversed(self.people) if g and f}
+        self.names = {*self.given, *self.family, *self.handle}
         self.seen: dict[tuple[str, str], int | None] = {}
 
     def knows(self, form: str, slot: str) -> bool:
@@ -126,6 +127,9 @@ class Roster:
 #: Marks that close a slot, and the slots that can stand before them, by shape.
 _CLOSE = re.compile(r"(?<=[^\W_])\s*[:：\])}>|~»«]+|(?<=[^\W_])\s+[-–—]+(?=\s)")
 _SHAPES = {form: re.compile(rf"(?<![\w{'' if form == 'handle' else '@'}])(?:{pattern})$", re.I) for form, pattern in _FORMS.items()}
+_NAMED = tuple(form for form in _FORMS if form != "number")
+_SLOT = re.compile(r"\S+(?:\s\S+)?$")
+_LAST = re.compile(r"[^\W_]+$")
 _ANCHORED = re.compile(rf"(?:^|[\n\r]|(?<=[<>\[({{@#|~»«\-–—]))\s*({_W}(?:\s{_W})?)$")
 
 
@@ -151,14 +155,17 @@ def heads(text: str, times: tuple[float, float] | None, roster: Roster) -> list[
         low = max(0, m.start() - 64)
         left = plain[low : m.start()]
         found = None
-        for form, pattern in _SHAPES.items():
-            if (t := pattern.search(left)) and roster.knows(form, t.group()):
+        last = fold(_LAST.search(left).group())
+        # Only a number or a name of the roster can stand at the end of a known slot.
+        forms = ("number",) if last[-1].isdigit() else _NAMED if last in roster.names else ()
+        for form in forms:
+            if (t := _SHAPES[form].search(left)) and roster.knows(form, t.group()):
                 found = form, t
                 break
         known = found is not None
         if not known and (t := _ANCHORED.search(left)):  # a slot of another name, or none
             left = left[: t.start(1)] + t.group(1)
-            t = re.compile(r"\S+(?:\s\S+)?$").search(left, t.start(1))
+            t = _SLOT.search(left, t.start(1))
             found = ("pair" if len(t.group().split()) == 2 else "one"), t
         if found is None:
             continue
