@@ -73,23 +73,24 @@ class Space:
 
     def fold(self, table: np.ndarray, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Latent unit vectors of all passages of the texts, with text number and first word."""
-        blocks, owner, first, flat, base = [], [], [], [], 0
+        none = len(table)  # stands for a word outside the vocabulary, and fills up blocks
+        owner, first, rows, base = [], [], [], 0
         for n, t in enumerate(texts):
             count = max(1, -(-len(t) // STEP))
             last = max(1, count - 1)
             owner += [n] * last
-            first += [base + k for k in range(last)]
-            for k, w in enumerate(t):
-                i = self.ids.get(w, -1)
-                if i >= 0:
-                    flat.append(i)
-                    blocks.append(base + k // STEP)
-            base += count + 1  # an empty block ends each text, so that the last passage may reach over it
+            first += range(base, base + last)
+            rows += [self.ids.get(w, none) for w in t]
+            rows += [none] * ((count + 1) * STEP - len(t))  # an empty block ends each text, so that the last passage may reach over it
+            base += count + 1
+        words_ = np.array(rows, np.int64).reshape(-1, STEP)
+        table = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
         sums = np.zeros((base + 1, table.shape[1]), np.float32)
-        if flat:
-            b = np.array(blocks)
-            starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            sums[b[starts]] = np.add.reduceat(table[np.array(flat)], starts, axis=0)
+        for a in range(0, base, 512):  # a word of each block at a time, blocks few enough for the cache
+            part = words_[a : a + 512]
+            for k in range(STEP):
+                held = np.flatnonzero(part[:, k] < none)
+                sums[a + held] += table[part[held, k]]
         at = np.array(first, np.int64)
         z = sums[at] + sums[at + 1]
         size = np.sqrt((z * z).sum(1))
@@ -231,7 +232,10 @@ def _leaks_of(src: DataFrame, items: list, run: int, near: float, share: float,
                 texts = [text_words(b) for b in bodies[a : a + 256]]
                 z, owner, start = space.fold(table, texts)
                 for d, t in enumerate(texts):
-                    held = {(k // STEP, n) for k in range(len(t) - run + 1) for n in grams.get(tuple(t[k : k + run]), ())}
+                    # A run of an item is a run of words that all occur in items.
+                    strange = np.cumsum([0, *(w not in space.ids for w in t)])
+                    within = np.flatnonzero(strange[run:] == strange[:-run]) if len(t) >= run else ()
+                    held = {(k // STEP, n) for k in within for n in grams.get(tuple(t[k : k + run]), ())}
                     if held:
                         lo, hi = np.searchsorted(owner, [d, d + 1])
                         for x, n in held:
