@@ -9,12 +9,13 @@ group of its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.scans import scan
+
 EPS = 1e-6
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -124,22 +125,13 @@ def last_of_session(df: DataFrame, order: str, estimator: str = "grpo") -> DataF
 
 
 def _backwards(df: DataFrame, out: str, start: tuple[float, ...], step: Callable[..., tuple[float, tuple[float, ...]]], columns: list[str]) -> DataFrame:
-    """Adds ``out`` by a scan from the last token of each sequence (seq, pos) to the first: ``step(state, *columns)`` gives a token's value and
-    the next state. One shuffle by sequence; the tokens stream through the task, so a sequence of any length takes linear time and no memory."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, {out} double"
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, start
-        for b in batches:
-            values = []
-            for seq, *x in zip(b.column("seq").to_pylist(), *(b.column(c).to_pylist() for c in columns)):
-                if seq != now:
-                    now, state = seq, start
-                v, state = step(state, *x)
-                values.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], names=[*b.schema.names, out])
-
-    return df.repartition("seq").sortWithinPartitions("seq", F.col("pos").desc()).mapInArrow(scan, schema)
+    """Adds ``out`` by a scan from the last token of each sequence (seq, pos) to the first."""
+
+    def one(state: tuple[float, ...], *x: float) -> tuple[tuple[float], tuple[float, ...]]:
+        value, state = step(state, *x)
+        return (value,), state
+
+    return scan(df, "seq", [F.col("pos").desc()], columns, {out: "double"}, start, one)
 
 
 def discounted_returns(df: DataFrame, gamma: float = 1.0) -> DataFrame:

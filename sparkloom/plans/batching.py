@@ -217,17 +217,13 @@ q("join_bridge", "SELECT b.record_id, v.subtitle FROM batch_records b LEFT JOIN
 @q("join_transcript_window", """SELECT k.vector_row, s.seg_id FROM keyframe_meta k JOIN videos v ON v.video_idx = k.video_idx JOIN transcript_segments s ON s.video_id = v.video_id
  AND s.start_s >= k.timestamp - 2 AND s.end_s <= k.timestamp + 10 + 2""")
 def join_transcript_window(spark, d):
-    """Range join: segments within a window around a key frame. Both sides are cut into 16-second bins of the video, so
-    that it becomes an equi-join that spreads even one long video over tasks."""
-    k = table(spark, d, "keyframe_meta").join(table(spark, d, "videos").select("video_idx", "video_id"), "video_idx").where("timestamp is not null")
-    k = k.withColumn("bin", F.explode(F.sequence(F.floor((F.col("timestamp") - 2) / 16), F.floor((F.col("timestamp") + 12) / 16))))
-    s = table(spark, d, "transcript_segments").where("start_s is not null and end_s is not null").select("video_id", "seg_id", "start_s", "end_s", F.floor(F.col("start_s") / 16).alias("bin"))
-    # A row with a reversed end may start behind the window's last bin; such rows are few and joined without bins.
-    reversed_ = F.col("end_s") < F.col("start_s")
-    plain = k.join(s.where(~reversed_), ["video_id", "bin"])
-    odd = k.drop("bin").distinct().join(s.where(reversed_).drop("bin"), "video_id")
-    both = plain.select("vector_row", "timestamp", "seg_id", "start_s", "end_s", "video_idx").unionByName(odd.select("vector_row", "timestamp", "seg_id", "start_s", "end_s", "video_idx"))
-    return both.where((F.col("start_s") >= F.col("timestamp") - 2) & (F.col("end_s") <= F.col("timestamp") + 12)).select("vector_row", "seg_id")
+    """Range join: segments within a window around a key frame, that is, key frames between a segment's end less 12 and its start plus 2 seconds, be
+    its end before its start or not. Time is cut into 16-second bins of the video: an equi-join that spreads even one long video over tasks."""
+    k = table(spark, d, "keyframe_meta").join(table(spark, d, "videos").select("video_idx", "video_id"), "video_idx").where("timestamp is not null").withColumn("bin", F.floor(F.col("timestamp") / 16))
+    low, high = F.col("end_s") - 12, F.col("start_s") + 2
+    s = table(spark, d, "transcript_segments").where("start_s is not null and end_s is not null").select("video_id", "seg_id", "start_s", "end_s", (low - 0.01).alias("low"), (high + 0.01).alias("high")).where("low <= high")  # a little wider than the window, against rounding
+    s = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / 16), F.floor(F.col("high") / 16))))
+    return k.join(s, ["video_id", "bin"]).where((F.col("start_s") >= F.col("timestamp") - 2) & (F.col("end_s") <= F.col("timestamp") + 12)).select("vector_row", "seg_id")
 
 
 @q("join_chain_walk", """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), w AS (SELECT a AS seed, b AS node, 1 AS hop, [a, b] AS seen FROM e

@@ -208,8 +208,9 @@ q("stream_replay_groups", f"WITH n AS (SELECT user_id, event_type, arg_max({_ST}
 @q("stream_token_bucket", """WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t, CAST(event_id % 9 AS DOUBLE) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
  r AS (SELECT user_id, k, t, 10.0 - n AS level FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t, least(10.0, r.level + (e.t - r.t) * 0.02) - e.n FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, rnd(sum(greatest(0, -level / 0.02)), 2) AS waited FROM r GROUP BY 1""")
 def stream_token_bucket(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").cast("double").alias("t"), (F.col("event_id") % 9).cast("double").alias("n")))).alias("a"))
-    return e.select("user_id", rnd(F.aggregate(queues.token_bucket(F.col("a"), 0.02, 10.0), F.lit(0.0), lambda s, x: s + x), 2).alias("waited"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("t"), (F.col("event_id") % 9).cast("double").alias("n"))
+    waits = queues.token_bucket(e, "user_id", "t", "n", ["event_id"], 0.02, 10.0)
+    return waits.groupBy("user_id").agg(rnd(F.sum("waited"), 2).alias("waited"))
 
 
 @q("stream_agent_states", """WITH RECURSIVE e AS (SELECT user_id, event_id % 5 AS calls, event_id % 50 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
@@ -217,8 +218,8 @@ def stream_token_bucket(spark, d):
  UNION ALL SELECT e.user_id, e.k, r.used + e.tokens, CASE WHEN r.used + e.tokens > 150 THEN 'terminated_length' WHEN e.calls = 0 THEN 'terminated' WHEN e.k >= 8 THEN 'terminated_turns' ELSE 'running' END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 WHERE r.state = 'running')
  SELECT user_id, arg_max(state, k) AS state, CAST(arg_max(used, k) AS BIGINT) AS used, CAST(max(k) AS INT) AS n FROM r GROUP BY 1""")
 def stream_agent_states(spark, d):
-    t = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("event_id") % 5).alias("calls"), (F.col("event_id") % 50).alias("tokens")))).alias("a"))
-    return t.select("user_id", queues.agent_states(F.col("a"), 8, 150).alias("s")).select("user_id", "s.state", "s.used", "s.n")
+    turns = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 5).alias("calls"), (F.col("event_id") % 50).alias("tokens"))
+    return queues.agent_states(turns, "user_id", ["event_id"], "calls", "tokens", 8, 150)
 
 
 q("stream_required_samples", "SELECT n_nationkey, CAST(64 * (n_regionkey + 1) * 4 AS BIGINT) AS required FROM nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", (64 * (F.col("n_regionkey") + 1) * 4).cast("bigint").alias("required")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators.scans import scan
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """A folder of Parquet files as a stream; the rate limit is the back pressure."""
@@ -67,26 +69,28 @@ def ready_groups(tags: DataFrame, group: str, key: str, status: str, order: str)
     return now.join(done.select(group), group).where("status = 'success'")
 
 
-def token_bucket(arrivals: Column, rate: float, capacity: float) -> Column:
-    """Waits of ordered arrivals array<struct<t, n>>: the bucket refills at ``rate`` up to ``capacity``; a request larger
-    than what is there runs a debt that it waits for."""
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(capacity).alias("level"), F.array().cast("array<double>").alias("waits"))
+def token_bucket(df: DataFrame, key: str, time: str, tokens: str, order: list[str], rate: float, capacity: float) -> DataFrame:
+    """Adds ``waited``: the bucket of each key refills at ``rate`` up to ``capacity``; a request larger than what is there runs a debt that
+    it waits for."""
 
-    def step(a: Column, x: Column) -> Column:
-        level = F.least(F.lit(capacity), a["level"] + F.coalesce((x["t"] - a["t"]) * rate, F.lit(0.0))) - x["n"]
-        return F.struct(x["t"].alias("t"), level.alias("level"), F.concat(a["waits"], F.array(F.greatest(F.lit(0.0), -level / rate))).alias("waits"))
+    def step(state: tuple, t: float, n: float) -> tuple[tuple, tuple]:
+        last, level = state
+        level = min(capacity, level + (0.0 if last is None else (t - last) * rate)) - n
+        return (max(0.0, -level / rate),), (t, level)
 
-    return F.aggregate(arrivals, start, step)["waits"]
+    return scan(df, key, order, [time, tokens], {"waited": "double"}, (None, capacity), step)
 
 
-def agent_states(turns: Column, most_turns: int, most_tokens: int) -> Column:
-    """Ordered turns array<struct<calls, tokens>> to the state an agent's loop ends in: terminated_turns,
-    terminated_length, terminated (a turn without calls) or running."""
-    start = F.struct(F.lit("running").alias("state"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"))
+def agent_states(df: DataFrame, key: str, order: list[str], calls: str, tokens: str, most_turns: int, most_tokens: int) -> DataFrame:
+    """key, state, used, n: what an agent's loop over the ordered turns of each key ends in: terminated_length, terminated (a turn without
+    calls), terminated_turns, or running; the tokens used and the turns taken by then."""
 
-    def step(a: Column, x: Column) -> Column:
-        used, n = a["used"] + x["tokens"], a["n"] + 1
-        state = F.when(used > most_tokens, "terminated_length").when(x["calls"] == 0, "terminated").when(n >= most_turns, "terminated_turns").otherwise("running")
-        return F.when(a["state"] != "running", a).otherwise(F.struct(state.alias("state"), used.alias("used"), n.alias("n")))
+    def step(state: tuple, c: int, t: int) -> tuple[tuple, tuple]:
+        name, used, n = state
+        if name == "running":
+            used, n = used + t, n + 1
+            name = "terminated_length" if used > most_tokens else "terminated" if c == 0 else "terminated_turns" if n >= most_turns else "running"
+        return (name, used, n), (name, used, n)
 
-    return F.aggregate(turns, start, step)
+    turns = scan(df, key, order, [calls, tokens], {"state": "string", "used": "bigint", "n": "int"}, ("running", 0, 0), step)
+    return turns.groupBy(key).agg(F.max_by(F.struct("state", "used", "n"), F.struct("n", "used")).alias("s")).select(key, "s.*")

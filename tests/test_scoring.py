@@ -89,10 +89,14 @@ def test_answer_instead_of_call_in_the_middle(spark):
 
 
 def test_token_bucket_and_agent_states(spark):
-    df = spark.createDataFrame([([(0.0, 6.0), (0.0, 6.0), (10.0, 1.0)],)], "a array<struct<t:double,n:double>>")
-    assert df.select(queues.token_bucket(F.col("a"), 1.0, 10.0).alias("w")).first()["w"] == [0.0, 2.0, 0.0]
-    df = spark.createDataFrame([([(1, 10), (0, 10), (1, 10)],), ([(1, 10)] * 5,), ([(1, 999)],), ([(1, 1)],)], "a array<struct<calls:bigint,tokens:bigint>>")
-    assert [r[0] for r in df.select(queues.agent_states(F.col("a"), 4, 100)["state"]).collect()] == ["terminated", "terminated_turns", "terminated_length", "running"]
+    df = spark.createDataFrame([(1, 0, 0.0, 6.0), (1, 1, 0.0, 6.0), (1, 2, 10.0, 1.0), (None, 0, 0.0, 11.0)], "k bigint, i int, t double, n double")
+    got = {(r["k"], r["i"]): r["waited"] for r in queues.token_bucket(df, "k", "t", "n", ["i"], 1.0, 10.0).collect()}
+    assert got == {(1, 0): 0.0, (1, 1): 2.0, (1, 2): 0.0, (None, 0): 1.0}
+    turns = [(1, [(1, 10), (0, 10), (1, 10)]), (2, [(1, 10)] * 5), (3, [(1, 999)]), (4, [(1, 1)])]
+    df = spark.createDataFrame([(k, i, c, t) for k, x in turns for i, (c, t) in enumerate(x)], "k bigint, i int, c bigint, t bigint")
+    got = {r["k"]: (r["state"], r["used"], r["n"]) for r in queues.agent_states(df, "k", ["i"], "c", "t", 4, 100).collect()}
+    assert got == {1: ("terminated", 20, 2), 2: ("terminated_turns", 40, 4), 3: ("terminated_length", 999, 1), 4: ("running", 1, 1)}
+    assert queues.agent_states(df.where("k > 9"), "k", ["i"], "c", "t", 4, 100).count() == 0
 
 
 def test_readers(spark, tmp_path):
