@@ -256,6 +256,12 @@ def xml_calls(x: Column) -> Column:
 
 
 # --- Rendering of nested values ---
+# Headings of a rendered chain.
+CHAIN_SUMMARY = "Video synthesised description:"
+CHAIN_FACTS = "Background properties (text-verified facts; safe to use as indirect descriptors):"
+CHAIN_CAPTIONS = "Per-frame captions (subset):"
+
+
 def flattened(df, sep: str = "/") -> list[Column]:
     """A column for every field of a frame, structs taken apart to any depth, named by its path; arrays and maps stay whole."""
     from pyspark.sql.types import StructType
@@ -309,9 +315,9 @@ def chain_block(hops: Column, frames: bool = True, most: int = 12) -> Column:
         text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
         head = F.concat(F.lit("=== Hop "), i.cast("string"), F.lit(" · Entity: "), e["name"], F.lit(" (depth="), text(e["depth"]), F.lit(", category="), F.coalesce(F.nullif(e["category"], F.lit("")), F.lit("-")), F.lit(") ==="))
         video = F.when(e["url"].isNotNull(), F.concat(F.lit("\nLinked video: title='"), text(e["title"]), F.lit("', url="), e["url"], F.lit(", channel="), text(e["channel"]), F.lit(", duration="), text(e["duration"]), F.lit("s"))).otherwise("")
-        summary = F.when(F.coalesce(e["summary"], F.lit("")) != "", F.concat(F.lit("\nVideo synthesised description:\n"), e["summary"])).otherwise("")
-        facts = lines(e["properties"], "Background properties (text-verified facts; safe to use as indirect descriptors):", lambda p: F.concat(F.lit("\n  • "), p))
-        shown = lines(F.slice(e["frames"], 1, most), "Per-frame captions (subset):", lambda f: F.concat(F.format_string("\n  • t=%.2fs — ", f["timestamp"]), f["caption"])) if frames else F.lit("")
+        summary = F.when(F.coalesce(e["summary"], F.lit("")) != "", F.concat(F.lit(f"\n{CHAIN_SUMMARY}\n"), e["summary"])).otherwise("")
+        facts = lines(e["properties"], CHAIN_FACTS, lambda p: F.concat(F.lit("\n  • "), p))
+        shown = lines(F.slice(e["frames"], 1, most), CHAIN_CAPTIONS, lambda f: F.concat(F.format_string("\n  • t=%.2fs — ", f["timestamp"]), f["caption"])) if frames else F.lit("")
         left = F.size(e["frames"]) - most
         more = F.when(left > 0, F.concat(F.lit("\n  ...("), left.cast("string"), F.lit(" more frames omitted)"))).otherwise("") if frames else F.lit("")
         onward = F.when(F.coalesce(e["next"], F.lit("")) != "", F.concat(F.lit("\n→ next entity picked: "), e["next"], F.lit(" (reason: "), F.coalesce(e["reason"], F.lit("")), F.lit(")"))).otherwise("")
