@@ -40,15 +40,6 @@ q("search_postings", f"WITH {_BM25} SELECT token, doc, tf, dl FROM tf")(lambda s
 q("search_dense", f"WITH {_DENSE} SELECT q, doc, rnd(score, 3) AS score FROM den WHERE rank <= 10")(lambda s, d: _dense(s, d, 10).select("q", "doc", rnd("score", 3).alias("score")))
 
 
-@q("search_keyframes_to_videos")
-def search_keyframes_to_videos(spark, d):
-    """Videos by the best of their key frames for each asked vector."""
-    v = table(spark, d, "keyframe_vectors")
-    hits = R.dense(v, "vector_row", "embedding", v.where("vector_row % 100 = 0").select(F.col("vector_row").alias("q"), F.col("embedding").alias("vector")), 100)
-    m = table(spark, d, "keyframe_meta").select(F.col("vector_row").alias("doc"), "video_idx").distinct()
-    return hits.join(m, "doc").groupBy("q", F.col("video_idx").alias("doc")).agg(F.max("score").alias("score"))
-
-
 q("search_rank_fusion", f"""WITH {_BM25}, title AS (SELECT video_idx AS q, video_idx AS doc, 1 AS rank FROM videos WHERE video_idx % 100 = 0), al AS (SELECT q, doc, rank, 0 AS src FROM lex WHERE rank <= 100 UNION ALL SELECT q, doc, rank, 1 FROM title),
  f AS (SELECT q, doc, round(sum(1.0 / (60 + rank)), 12) AS score, min((src, rank)) AS seen FROM al GROUP BY q, doc), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen) AS rank FROM f) SELECT q, doc, rnd(score, 8) AS score, CAST(rank AS INT) AS rank FROM o WHERE rank <= 50""")(
     lambda s, d: R.fused_top(R.fuse([_lexical(s, d, 100), _asked(s, d).select("q", F.col("q").alias("doc"), F.lit(1).alias("rank"))]), 50).select("q", "doc", rnd("score", 8).alias("score"), "rank")
@@ -149,6 +140,16 @@ q("search_result_text", "SELECT doc_id, CASE WHEN length(text) > 400 THEN concat
 
 _KEYS = """uk AS (SELECT vector_row AS doc, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM keyframe_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  nk AS (SELECT doc, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM uk), mk AS (SELECT DISTINCT vector_row AS doc, video_idx FROM keyframe_meta)"""
+@q("search_keyframes_to_videos", f"""WITH {_KEYS}, sk AS (SELECT a.doc AS q, b.doc, list_dot_product(a.e, b.e) AS score, row_number() OVER (PARTITION BY a.doc ORDER BY list_dot_product(a.e, b.e) DESC, b.doc) AS rank FROM nk a, nk b WHERE a.doc % 100 = 0)
+ SELECT q, video_idx AS doc, rnd(max(score), 3) AS score FROM sk JOIN mk USING (doc) WHERE rank <= 100 GROUP BY 1, 2""")
+def search_keyframes_to_videos(spark, d):
+    """Videos by the best of their key frames for each asked vector."""
+    v = table(spark, d, "keyframe_vectors")
+    hits = R.dense(v, "vector_row", "embedding", v.where("vector_row % 100 = 0").select(F.col("vector_row").alias("q"), F.col("embedding").alias("vector")), 100)
+    m = table(spark, d, "keyframe_meta").select(F.col("vector_row").alias("doc"), "video_idx").distinct()
+    return hits.join(m, "doc").groupBy("q", F.col("video_idx").alias("doc")).agg(rnd(F.max("score"), 3).alias("score"))
+
+
 q("hybrid_search_ranks", f"""WITH {_BM25}, {_KEYS}, fk AS (SELECT video_idx AS q, min(vector_row) AS doc FROM keyframe_meta WHERE video_idx % 100 = 0 GROUP BY 1), ak AS (SELECT q, e FROM fk JOIN nk USING (doc)),
  sk AS (SELECT q, doc, round(CAST(list_dot_product(ak.e, nk.e) AS FLOAT), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(ak.e, nk.e) DESC, doc) AS rank FROM ak, nk), vk AS (SELECT q, video_idx AS doc, max(score) AS score FROM sk JOIN mk USING (doc) WHERE rank <= 300 GROUP BY 1, 2),
  dk AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM vk), al AS (SELECT q, doc, rank, 0 AS src FROM lex WHERE rank <= 100 UNION ALL SELECT q, doc, rank, 1 FROM dk WHERE rank <= 100),
