@@ -216,3 +216,39 @@ def test_nothing_is_published_before_its_row(spark, tmp_path):
     assert len(index.batches) == 2 and not Path(path / "meta" / "version=3").exists()
     recs, done = _frames(spark, [r for r in rows if r[1] == 2], ck[2:])
     assert {(r[0], r[1]) for r in index.add(recs, done).collect()} == {x for x in _simulated(rows, ck) if rows[x[1]][1] == 2}
+
+
+def test_alike_has_one_measure_for_all_lengths():
+    """The same share of edits has the same verdict below and above 2,000 words or letters, and from either side."""
+    for n in (70, 700, 1999, 2001, 7000):
+        w = [f"w{i}" for i in range(n)]
+        some, more, moved = list(w), list(w), w[n // 2 :] + w[: n // 2]
+        some[::7] = [f"e{i}" for i in range(len(some[::7]))]
+        more[::4] = [f"e{i}" for i in range(len(more[::4]))]
+        for other, same in ((some, True), (more, False), (moved, False), (w[: n // 2], False), (w[: 3 * n // 4], True)):
+            assert alike(" ".join(w), " ".join(other)) == alike(" ".join(other), " ".join(w)) == same, n
+        letters = [chr(0x4E00 + i % 5000) for i in range(n)]
+        edited = list(letters)
+        edited[::7] = "x" * len(edited[::7])
+        assert alike("".join(letters), "".join(edited), True) and alike("".join(edited), "".join(letters), True)
+
+
+def test_common_subsequences_against_the_plain_table():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x, y = ([str(v) for v in rng.integers(0, 4, int(rng.integers(0, 30)))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(new[j], row[j + 1]))
+            row = new
+        assert batchdedup.common(x, y) == batchdedup.common(y, x) == row[-1]
+
+
+def test_a_long_text_edited_throughout_is_refused(spark):
+    w = [f"w{i}" for i in range(2450)]
+    v = list(w)
+    v[::7] = [f"e{i}" for i in range(len(v[::7]))]
+    rows = [(i, i, _id(i), "u", "the title", "the words", " ".join(x)) for i, x in enumerate((w, v))]
+    assert _run(spark, rows, [(0, []), (1, [])]) == {(0, 1)}
